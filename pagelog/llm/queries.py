@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelog.llm import simhash
+from pagelog.llm import exact, mixing, simhash
+from pagelog.llm.oracle import ORACLE  # noqa: F401
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_read(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(_read(spark, sf_dir, "documents")).drop("copies")
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(_read(spark, sf_dir, "documents")).drop("rid")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op5_mixing": op5_mixing,
+    "op7_exact_dedup": op7_exact_dedup,
 }
-
-ORACLE: dict[str, str] = {}
