@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelog.llm import exact, mixing, simhash
+from pagelog.llm import counts, exact, mixing, pieces, simhash
 from pagelog.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -18,16 +18,26 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_read(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(_read(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_read(spark, sf_dir, "documents")).drop("copies")
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_read(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_read(spark, sf_dir, "documents")).drop("rid")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op4_token_counts": op4_token_counts,
     "op5_mixing": op5_mixing,
+    "op6_pieces": op6_pieces,
     "op7_exact_dedup": op7_exact_dedup,
 }
