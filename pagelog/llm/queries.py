@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelog.llm import counts, exact, mixing, pieces, simhash
+from pagelog.llm import counts, exact, mixing, pieces, quality, simhash, toxicity
 from pagelog.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -34,10 +34,21 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_read(spark, sf_dir, "documents")).drop("rid")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_read(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_token_counts": op4_token_counts,
     "op5_mixing": op5_mixing,
     "op6_pieces": op6_pieces,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_quality": op8_quality,
+    "op10_toxicity": op10_toxicity,
 }
