@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelog.llm import counts, exact, mixing, pieces, quality, simhash, toxicity
+from pagelog.llm import counts, exact, mixing, pieces, quality, simhash, tokenfile, toxicity
 from pagelog.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -18,6 +18,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_read(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_files(_read(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(_read(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_token_files": op2_token_files,
     "op4_token_counts": op4_token_counts,
     "op5_mixing": op5_mixing,
     "op6_pieces": op6_pieces,
