@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -22,17 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelog.llm import chunks
-
 #: Classes: GROUPS * GROUPS in all, HASHED of them for words that are not among the most frequent.
 GROUPS, HASHED = 48, 256
 CLASSES = GROUPS * GROUPS
 DIM, WINDOW = 16, 2
-ROUNDS, STRIDE, BATCH, RATE = 2, 16, 4096, 0.08
+ROUNDS, STRIDE, BATCH, RATE = 2, 16, 4096, 0.2
 PAD = CLASSES
 #: Distinct words that a task counts before it hands them on.
 HELD = 200_000
-_STEP = 1 << 15
+_STEP = 1 << 12
 _SHAPES = {"e": (CLASSES + 1, DIM), "a": (2 * WINDOW, DIM), "b": (DIM,), "wg": (DIM, GROUPS), "bg": (GROUPS,), "wm": (GROUPS, DIM, GROUPS), "bm": (GROUPS, GROUPS)}
 _OFFSETS = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
 
@@ -118,17 +117,16 @@ class Classes:
 
     def __init__(self, frequent: list[bytes]):
         self.rank = {w: k for k, w in enumerate(frequent)}
-        self.table = chunks.Table(self._of)
 
-    def _of(self, parts: list[bytes]) -> list[int]:
-        own = CLASSES - HASHED
-        return [self.rank[w] if w in self.rank else own + crc32(w) % HASHED for w in parts]
+    def ids(self, parts: list[bytes]) -> list[int]:
+        own, rank = CLASSES - HASHED, self.rank.get
+        return [own + crc32(w) % HASHED if (k := rank(w)) is None else k for w in parts]
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(classes of all texts' words, each text with WINDOW pads before and after; words per text)."""
         lists = [words(t) for t in texts]
         n = np.array([len(x) for x in lists], np.int64)
-        ids = np.array(self.table.of([w for x in lists for w in x]), np.int32)
+        ids = np.fromiter(chain.from_iterable(map(self.ids, lists)), np.int32, int(n.sum()))
         out = np.full(len(ids) + 2 * WINDOW * len(lists), PAD, np.int32)
         out[np.arange(len(ids)) + np.repeat(np.arange(len(lists)) * 2 * WINDOW + WINDOW, n)] = ids
         return out, n
