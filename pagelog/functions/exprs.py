@@ -149,7 +149,7 @@ def committed_frames(end_offset, page_size) -> Column:
 
 def next_txid(txid) -> Column:
     t = _c(txid).cast(_TXID)
-    return F.when(t < F.lit(MAX_TXID).cast(_TXID), (t + 1).cast(_TXID))
+    return F.when(t < F.lit(str(MAX_TXID)).cast(_TXID), (t + 1).cast(_TXID))
 
 
 def timestamp_text(ms) -> Column:

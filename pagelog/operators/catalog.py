@@ -126,12 +126,24 @@ def successors(files: DataFrame, starts: DataFrame) -> DataFrame:
     return out.select("reach", (-F.col("best_so_far.neg_min")).alias("min_txid"), "best_so_far.max_txid", "best_so_far.level", "best_so_far.size_bytes", "best_so_far.created_at_ms")
 
 
-def walk(steps: DataFrame, start: int) -> DataFrame:
-    """Reaches on the path from ``start`` along (reach -> max_txid), with no driver loop over files.
+#: Steps of a restore plan that the driver follows itself; longer tables are walked by joins.
+LOCAL_STEPS = 50_000
 
-    Jumps double in each round, so a plan of n files takes log2(n) rounds of equi-joins.
+
+def walk(steps: DataFrame, start: int, local: int = LOCAL_STEPS) -> DataFrame:
+    """Reaches on the path from ``start`` along (reach -> max_txid).
+
+    Two numbers a file, of which a catalog of up to ``local`` files gives the driver its path at once. Beyond that, jumps
+    double in each round, so a plan of n files takes log2(n) rounds of equi-joins and the driver holds none of it.
     """
     spark = steps.sparkSession
+    got = steps.select("reach", "max_txid").limit(local + 1).collect()
+    if len(got) <= local:
+        to, at, path = dict(map(tuple, got)), start, []
+        while at is not None:
+            path.append((at,))
+            at = to.get(at)
+        return spark.createDataFrame(path, "reach bigint")
     jump = steps.select(F.col("reach").alias("a"), F.col("max_txid").alias("b"))
     on = spark.createDataFrame([(start,)], "reach bigint")
     while True:
