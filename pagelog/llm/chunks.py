@@ -21,23 +21,25 @@ class Table(dict):
 
     def __init__(self, work: Callable[[list[str]], Iterable], entries: int = ENTRIES):
         super().__init__()
-        self.work, self.entries, self.held = work, entries, 0
+        self.work, self.entries, self.characters, self.held = work, entries, entries * (CHARACTERS // ENTRIES), 0
 
     def of(self, parts: list[str]) -> list:
         """The value of each chunk, by position."""
         out = list(map(self.get, parts))
-        if None not in out:
+        gone = [k for k, v in enumerate(out) if v is None]
+        if not gone:
             return out
-        new = list({p for p, v in zip(parts, out) if v is None})
-        if len(self) + len(new) > self.entries or self.held > CHARACTERS:
+        new = list({parts[k] for k in gone})
+        if len(self) + len(new) > self.entries or self.held > self.characters:
             self.clear()
             self.held = 0
-            new = list(set(parts))
         made = dict(zip(new, self.work(new)))
-        short = {p: v for p, v in made.items() if len(p) <= LONG}
+        short = made if len(max(new, key=len)) <= LONG else {p: v for p, v in made.items() if len(p) <= LONG}
         self.update(short)
         self.held += sum(map(len, short))
-        return [made[p] if p in made else self[p] for p in parts] if len(short) < len(made) else list(map(self.__getitem__, parts))
+        for k in gone:
+            out[k] = made[parts[k]]
+        return out
 
 
 _RUN = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -58,19 +60,15 @@ def marked(text: str) -> list[str]:
     return parts
 
 
+#: Where a space does not stand alone, or another character than space and \\n may be space to someone.
+ODD = r"  | \n|\n |^ | $|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s \s?|\s? \s|^ | $|\s\s")
 
 
 def spaced(text: str) -> list[str]:
-    """Chunks of a text cut before each space that stands alone between two other characters, the space kept in front.
+    """Chunks of a text cut at each space that stands alone between two other characters; the space belongs to the chunk after.
 
-    Byte-level patterns start a new word there. \\s here holds every character that those patterns hold to be space.
+    Byte-level patterns start a new word there. All chunks but the first are to be read with a space in front. \\s here holds
+    every character that those patterns hold to be space. Texts that ODD does not match may be split at every space.
     """
-    if not text:
-        return []
-    if _ODD.search(text):
-        parts = _SPACE.split(text)
-    else:
-        parts = text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]]
+    return _SPACE.split(text)

@@ -14,13 +14,16 @@ one such frame after its seek table.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -38,8 +41,13 @@ END_ID = 0
 LEVEL = 3
 #: Bytes of frames that are handed to the writer as one row.
 ROW = 1 << 20
-#: Chunks encoded in one call of the library.
+#: Bytes of text that are encoded together, and distinct chunks whose ids a worker holds.
+SLICE, ENTRIES = 1 << 22, 1_000_000
+#: Words encoded as one text.
 JOIN = 64
+_LAST = "ɏ"
+#: Words of Latin letters, each alone or with one mark behind, and a line break between them: the pattern cuts just there.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)(?:(\n)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?))?")
 
 
 def default_tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -52,11 +60,11 @@ class Encoder:
     """Ids of whole texts as the tokenizers library gives them without added special tokens.
 
     Byte-level patterns start a new word at a space that stands alone, so texts are cut there and each distinct chunk is
-    encoded once per table. Texts that hold a special token's string are encoded whole.
+    encoded once per table, most of them from a second table of words. Texts that hold a special token's string are encoded whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tk = Tokenizer.from_file(path)
         spec = json.loads(self.tk.to_str())
@@ -67,39 +75,106 @@ class Encoder:
         size = self.tk.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.spaces = np.array([(self.tk.id_to_token(i) or "")[:1] == "Ġ" for i in range(size)])
-        self.table = chunks.Table(self._chunks)
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
+        # The same vocabulary and merges without the pattern, for words that the pattern would leave whole.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.first, self.later = chunks.Table(self._ids), chunks.Table(self._chunks, ENTRIES)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of runs of letters with a space put in front: each is one word of the pattern."""
+        groups = [parts[lo : lo + JOIN] for lo in range(0, len(parts), JOIN)]
+        for e in self.bare.encode_batch_fast([[" " + p for p in g] for g in groups], is_pretokenized=True, add_special_tokens=False):
+            a = np.array(e.ids)
+            at = (np.flatnonzero(self.spaces[a]) * self.dtype.itemsize).tolist()  # a word starts at a token with the space
+            raw = a.astype(self.dtype).tobytes()
+            for i, j in zip(at, [*at[1:], len(raw)]):
+                yield raw[i:j]
 
     def _chunks(self, parts: list[str]) -> list[bytes]:
-        """Ids of each chunk, as bytes. Chunks whose only space comes first are encoded as one text and told apart by it."""
-        easy = [k for k, p in enumerate(parts) if p[0] == " " and p.count(" ") == 1]
-        rest = sorted(set(range(len(parts))) - set(easy))
+        """Ids of each chunk with a space put in front.
+
+        One that is plainly words, marks and line breaks is put together from its words, which the tables may know already.
+        """
         out: list = [None] * len(parts)
-        groups = [easy[lo : lo + JOIN] for lo in range(0, len(easy), JOIN)]
-        for group, ids in zip(groups, self._ids(["".join([parts[k] for k in g]) for g in groups])):
-            a = np.array(ids)
-            at = np.flatnonzero(self.spaces[a]) if len(a) else a
-            if len(at) != len(group):  # a space that the library did not set apart
-                rest += group
-                continue
-            raw, cuts = a.astype(self.dtype).tobytes(), (at * self.dtype.itemsize).tolist()
-            for k, i, j in zip(group, cuts, [*cuts[1:], len(raw)]):
-                out[k] = raw[i:j]
-        for k, ids in zip(rest, self._ids([parts[k] for k in rest])):
-            out[k] = np.array(ids, self.dtype).tobytes()
+        lone, built, rest, known = {}, [], [], self.later
+        for k, p in enumerate(parts):
+            if p.isalpha() and max(p) <= _LAST:
+                lone[p] = None
+            elif m := _PLAIN.fullmatch(p):
+                built.append((k, m.groups()))
+                if m[1] not in known:
+                    lone[m[1]] = None
+            else:
+                rest.append(k)
+        words = list(lone)
+        lone = dict(zip(words, self._words(words)))
+        tails = self.first.of([g for _, gs in built for g in gs[1:] if g])
+        at = 0
+        for k, gs in built:
+            n = sum(1 for g in gs[1:] if g)
+            w = gs[0]
+            out[k] = b"".join([lone[w] if w in lone else known[w], *tails[at : at + n]])
+            at += n
+        for k, v in zip(rest, self._ids([" " + parts[k] for k in rest])):
+            out[k] = v
+        return [lone[p] if v is None else v for p, v in zip(parts, out)]
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> Iterator[bytes]:
+        """Ids of each text, null as empty, with an end id behind if one is given."""
+        texts = texts.cast(pa.string()).fill_null("")
+        stop = b"" if end is None else np.array([end], self.dtype).tobytes()
+        size = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)) if len(texts) else np.zeros(0, np.int32)
+        group = (np.cumsum(size, dtype=np.int64) - size) // SLICE
+        cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist() if len(texts) else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(texts)]):
+            for ids in self._slice(texts.slice(lo, hi - lo)):
+                yield ids + stop
+
+    def _slice(self, texts: pa.Array) -> list[bytes]:
+        odd = pc.match_substring_regex(texts, chunks.ODD)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        odd = pc.or_(odd, pc.equal(texts, "")).to_numpy(zero_copy_only=False) if self.cuts else np.ones(len(texts), bool)
+        even = np.flatnonzero(~odd)
+        out: list = [b""] * len(texts)
+        if len(even):
+            for k, ids in zip(even.tolist(), self._even(texts.take(pa.array(even)))):
+                out[k] = ids
+        rest = np.flatnonzero(odd).tolist()
+        some = [texts[k].as_py() for k in rest]
+        whole = [not self.cuts or any(s in t for s in self.special) for t in some]
+        parts = [[] if w or not t else chunks.spaced(t) for t, w in zip(some, whole)]
+        first = iter(self.first.of([ps[0] for ps in parts if ps]))
+        later = iter(self.later.of([p for ps in parts for p in ps[1:]]))
+        for k, ps in zip(rest, parts):
+            if ps:
+                out[k] = b"".join([next(first), *islice(later, len(ps) - 1)])
+        at = [k for k, t, w in zip(rest, some, whole) if w and t]
+        for k, v in zip(at, self._ids([t for t, w in zip(some, whole) if w and t])):
+            out[k] = v
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [not self.cuts or any(s in t for s in self.special) for t in texts]
-        parts = [[] if w else chunks.spaced(t) for t, w in zip(texts, whole)]
-        known = iter(self.table.of([p for ps in parts for p in ps]))
-        out = [b"".join([next(known) for _ in ps]) for ps in parts]
-        at = [k for k, w in enumerate(whole) if w]
-        for k, ids in zip(at, self._ids([texts[k] for k in at])):
-            out[k] = np.array(ids, self.dtype).tobytes()
-        return out
+    def _even(self, texts: pa.Array) -> Iterator[bytes]:
+        """Texts without odd spaces: split, made distinct and joined back by position as whole arrays."""
+        lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy()
+        flat = lists.flatten().dictionary_encode()
+        at = flat.indices.to_numpy().astype(np.int64)
+        distinct = flat.dictionary.to_pylist()
+        starts = offsets[:-1] - offsets[0]
+        values = self.later.of(distinct) + self.first.of([distinct[k] for k in at[starts].tolist()])
+        at[starts] = len(distinct) + np.arange(len(starts))
+        size = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+        ids, begin = np.frombuffer(b"".join(values), self.dtype), np.cumsum(size) - size
+        n = size[at]
+        ends = np.cumsum(n)
+        got = ids[np.repeat(begin[at] - (ends - n), n) + np.arange(int(ends[-1]))]
+        stops = ends[offsets[1:] - offsets[0] - 1].tolist()
+        for i, j in zip([0, *stops], stops):
+            yield got[i:j].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -196,14 +271,12 @@ def _files(path: str | None, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = lambda parts: ([pa.RecordBatch.from_arrays([pa.array([p], pa.binary())], names=["value"])] for p in parts)
         enc = _encoder(path or default_tokenizer())
-        end, out = np.array([end_id], enc.dtype).tobytes(), None
+        out = None
         for b in batches:
             out = out or Writer(TaskContext.get().partitionId(), enc.dtype)
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo in range(0, len(ids), 64):
-                for i, data in zip(ids[lo : lo + 64], enc.encode([t or "" for t in texts[lo : lo + 64]])):
-                    for r in rows(out.add(i, data + end)):
-                        yield from r
+            for i, data in zip(b.column(0).to_pylist(), enc.encode(b.column(1), end_id)):
+                for r in rows(out.add(i, data)):
+                    yield from r
         if out:
             for r in rows(out.finish()):
                 yield from r
