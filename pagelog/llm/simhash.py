@@ -52,15 +52,18 @@ def _fingerprints(shingle: int):
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
             fp = np.frombuffer(b"".join(fingerprint(t or b"", shingle) for t in texts), ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], names=["doc_id", "fp", "rid"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) of every row; a null or wordless text has fingerprint zero."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    """(doc_id, fp long, rid long) of every row; a null or wordless text has fingerprint zero.
+
+    rid is monotonically_increasing_id() over ``docs``.
+    """
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("rid"))
+    return narrow.mapInArrow(_fingerprints(shingle), "doc_id long, fp long, rid long")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,6 +164,14 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(_compare(radius), "a long, b long")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, fp, rid) of every row, (fp, root, first_id) of every distinct fingerprint)"""
+    fps = common.cut(fingerprints(docs, id_col, text_col, shingle), "fp")
+    distinct = common.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    roots = common.components(links(distinct, radius))
+    return fps, distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row (doc_id, fingerprint, component_id) for every row of ``docs``; other columns are ignored.
 
@@ -168,17 +179,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     like any other. A null doc_id is no candidate for component_id; a group of such rows only has a null component_id.
     An empty table gives an empty result.
     """
-    fps = common.cut(fingerprints(docs, id_col, text_col, shingle), "fp")
-    distinct = common.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = common.components(links(distinct, radius))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    fps, named = _grouped(docs, id_col, text_col, radius, shingle)
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = named.join(lowest, "root").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, all columns kept, that are the first of their group (smallest doc_id)."""
-    groups = simhash_groups(docs, id_col, text_col, radius)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(first, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
+    """One row of each group, all columns kept: that of the smallest doc_id, null last; one of them if rows share it.
+
+    ``docs`` must be a plain scan of files.
+    """
+    fps, named = _grouped(docs, id_col, text_col, radius, SHINGLE)
+    first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
+    kept = first.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("__kept"))
+    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(kept, F.col("__rid") == F.col("__kept"), "left_semi").drop("__rid")
