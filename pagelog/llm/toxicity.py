@@ -8,6 +8,7 @@ its own probability, which locates the offending ones.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -71,32 +72,37 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     y = np.array(labels, bool)
     if not len(y) or y.all() or not y.any():
         return Model(np.zeros(BUCKETS, np.float32), 5.0 if len(y) and y.all() else START)
+    # Word numbers of each sentence, and features of each word, end to end in typed arrays: a few bytes for each.
     number: dict[str, int] = {}
-    flat, sizes, per_doc = [], [], []
+    flat, sizes, per_doc, feat_, per_word = array("i"), array("i"), array("i"), array("i"), array("i")
     for t in texts:
-        low, spans = t.lower(), sentences(t.lower())
+        low = t.lower()
+        spans = sentences(low)
         per_doc.append(len(spans))
         for lo, hi in spans:
-            ids = {number.setdefault(w, len(number)) for w in low[lo:hi].split()}
+            ids = sorted({number.setdefault(w, len(number)) for w in low[lo:hi].split()})
             sizes.append(len(ids))
-            flat.extend(sorted(ids))
-    words = list(number)
-    per_word = [features(w) for w in words]
-    feat = np.fromiter((f for fs in per_word for f in fs), np.int64)
-    feat_word = np.repeat(np.arange(len(words)), [len(fs) for fs in per_word])
-    flat_, sent = np.array(flat, np.int64), np.repeat(np.arange(len(sizes)), sizes)
-    doc = np.repeat(np.arange(len(y)), per_doc)
-    usable = _document_counts(flat_, doc[sent], feat, per_word) >= LEAST_DOCS
+            flat.extend(ids)
+    for w in number:
+        fs = features(w)
+        per_word.append(len(fs))
+        feat_.extend(fs)
+    n_words, n_sentences = len(number), len(sizes)
+    del number
+    feat, flat_ = np.frombuffer(feat_, np.int32), np.frombuffer(flat, np.int32)
+    feat_word, sent = np.repeat(np.arange(n_words, dtype=np.int32), per_word), np.repeat(np.arange(n_sentences, dtype=np.int32), sizes)
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), per_doc)
+    usable = _document_counts(flat_, doc[sent], feat, np.array(per_word, np.int64)) >= LEAST_DOCS
     w, b = np.zeros(BUCKETS), START
     m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
     for step in range(1, ROUNDS + 1):
-        by_word = np.bincount(feat_word, w[feat], len(words))
-        z = np.clip(b + np.bincount(sent, by_word[flat_], len(sizes)), -30, 30)
+        by_word = np.bincount(feat_word, w[feat], n_words)
+        z = np.clip(b + np.bincount(sent, by_word[flat_], n_sentences), -30, 30)
         p = 1 / (1 + np.exp(-z))
         clean = np.clip(np.bincount(doc, -np.logaddexp(0, z), len(y)), -50, -1e-9)  # log of no sentence being toxic
         slope = np.where(y, 1 / np.expm1(-clean), -1.0)  # of the log likelihood, in each sentence's z, over p
         g = slope[doc] * p / len(y)
-        gw = np.bincount(feat, np.bincount(flat_, g[sent], len(words))[feat_word], BUCKETS) * usable
+        gw = np.bincount(feat, np.bincount(flat_, g[sent], n_words)[feat_word], BUCKETS) * usable
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -108,9 +114,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return Model(w.astype(np.float32), float(b))
 
 
-def _document_counts(words: np.ndarray, doc: np.ndarray, feat: np.ndarray, per_word: list[list[int]]) -> np.ndarray:
+def _document_counts(words: np.ndarray, doc: np.ndarray, feat: np.ndarray, size: np.ndarray) -> np.ndarray:
     """In how many documents each feature stands."""
-    size = np.array([len(fs) for fs in per_word], np.int64)
     start = np.cumsum(size) - size
     out = np.zeros(BUCKETS, np.int64)
     edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
@@ -131,7 +136,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # `known` has TRAINING_ROWS rows at most, whatever the input
     got = texts.join(F.broadcast(known), F.col("__doc") == F.col("__id")).select("__doc", "__text", "__y").limit(rows).collect()
     got.sort(key=lambda r: (r[0], r[1]))
-    return fit([r[1] for r in got], [r[2] for r in got])
+    texts, labels = [r[1] for r in got], [r[2] for r in got]
+    del got
+    return fit(texts, labels)
 
 
 def held_out(doc_id: F.Column) -> F.Column:
