@@ -71,8 +71,10 @@ def components(edges: DataFrame) -> DataFrame:
     the shared folder. Self-loops keep their node; nulls are not allowed; an empty input gives an empty result.
     """
     spark = edges.sparkSession
-    loops = edges.where("a = b").select("a").distinct()
+    edges, given = table(edges, "given")  # read several times, worked out once
+    loops = cut(edges.where("a = b").select("a").distinct(), "loops")
     now, path = table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    drop(spark, given)
     before = None
     while True:
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
