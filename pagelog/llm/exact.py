@@ -99,8 +99,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are ignored.
     """
     ids = common.cut(identities(docs, id_col, text_col, block), "ids")
-    groups = ids.groupBy("n", "name").agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("group_size"))
-    return ids.join(groups, ["n", "name"]).select("rid", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("sha").alias("text_sha256"))
+    groups = common.cut(ids.groupBy("n", "name").agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("group_size")), "groups")
+    # Rows of the largest groups, of which there are COMMON at most, meet their group by broadcast; all others by a shuffle
+    # in which no group is large.
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    large = F.col("group_size") >= F.greatest(F.lit(2), F.lit(total / COMMON))
+    hot = F.broadcast(groups.where(large))
+    rows = ids.join(hot, ["n", "name"]).unionByName(ids.join(hot, ["n", "name"], "left_anti").join(groups.where(~large), ["n", "name"]))
+    return rows.select("rid", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
