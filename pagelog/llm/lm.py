@@ -3,6 +3,8 @@
 Words are counted over the whole corpus; the most frequent have classes of their own, all others share hashed classes. For
 each position a network sees the words to the left and right within a window, not the word itself, and predicts it:
 position-wise scaled embeddings are summed and squashed, and a two-level softmax (group, then member) gives the probability.
+A word without a class of its own has its hashed class's probability times its part of that class's count, so all words of the
+corpus have probabilities that sum to one. The counts of these words stay a distributed table, which scoring joins by word.
 A document's score is the sum of the log probabilities of all its words.
 
 Training covers the whole corpus: in each round every task runs Adagrad over its own rows from the shared parameters, on one
@@ -23,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelog.llm import common
+
 #: Classes: GROUPS * GROUPS in all, HASHED of them for words that are not among the most frequent.
 GROUPS, HASHED = 48, 256
 CLASSES = GROUPS * GROUPS
@@ -200,10 +204,10 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SUMS = 16
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[Net, list[bytes]]:
-    """(network, most frequent words), from all rows of ``docs``."""
+def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[Net, list[bytes]]:
+    """(network, most frequent words), from all rows of ``docs``; ``counts`` are their word_counts, if at hand."""
     sc = docs.sparkSession.sparkContext
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(CLASSES - HASHED).collect()
+    top = (word_counts(docs, text_col) if counts is None else counts).orderBy(F.desc("n"), "word").limit(CLASSES - HASHED).collect()
     frequent = [bytes(r.word) for r in top]
     net = Net.new()
     narrow = docs.select(F.col(text_col).cast("string").alias("text"))
@@ -217,13 +221,31 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tupl
     return net, frequent
 
 
-def _scored(shared):
+def shares(counts: DataFrame, frequent: list[bytes]) -> DataFrame:
+    """(word, share): the log of its part of its hashed class's count, of every word that has no class of its own."""
+    top = F.broadcast(counts.sparkSession.createDataFrame([(bytearray(w),) for w in frequent], "word binary"))
+    others = counts.join(top, "word", "left_anti").withColumn("bucket", F.crc32("word") % HASHED)
+    totals = F.broadcast(others.groupBy("bucket").agg(F.sum("n").alias("total")))  # HASHED rows
+    return others.join(totals, "bucket").select("word", F.ln(F.col("n") / F.col("total")).alias("share"))
+
+
+def _spelled(classes: Classes, texts: list[str | None]) -> pa.Array:
+    """For each text, (word, times) of its words that have no class of their own."""
+    found, at = [], [0]
+    for t in texts:
+        found += Counter(w for w in words(t) if w not in classes.rank).items()
+        at.append(len(found))
+    each = pa.StructArray.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([k for _, k in found], pa.int64())], names=["word", "times"])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), each)
+
+
+def _scored(shared, spell: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, frequent = shared.value
         net, classes = Net.unpack(flat), Classes(frequent)
         for b in batches:
             texts = b.column(1).to_pylist()
-            total, count = [], []
+            total, count, spelled = [], [], []
             for lo in range(0, len(texts), 128):
                 padded, n = classes.of(texts[lo : lo + 128])
                 at = np.flatnonzero(padded != PAD)
@@ -231,18 +253,34 @@ def _scored(shared):
                 sums = np.bincount(np.repeat(np.arange(len(n)), n), np.concatenate(logs) if logs else None, len(n))
                 total += sums.tolist()
                 count += n.tolist()
+                if spell:
+                    spelled.append(_spelled(classes, texts[lo : lo + 128]))
             mean = [t / c if c else 0.0 for t, c in zip(total, count)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
+            out = {"doc_id": b.column(0), "n_words": pa.array(count, pa.int64()), "log_prob": pa.array(total, pa.float64()), "mean_log_prob": pa.array(mean, pa.float64())}
+            if spell and texts:
+                out["others"] = pa.concat_arrays(spelled)
+            if texts:
+                yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
-def score(docs: DataFrame, net: Net, frequent: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, log_prob, mean_log_prob) of every row, in one pass without a shuffle.
+def score(docs: DataFrame, net: Net, frequent: list[bytes], id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_words, log_prob, mean_log_prob) of every row.
 
+    ``counts`` are the word_counts of the corpus, best a stored table; all words of ``docs`` must be among them. Without them
+    a word's probability is that of its class, in one pass without a shuffle.
     A null or wordless text has 0 words and scores 0. Repeated rows each get their row; a null doc_id stays null; an empty
     table gives an empty result (and trains nothing); other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast((net.pack(), frequent))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(_scored(shared), "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    schema = "doc_id long, n_words long, log_prob double, mean_log_prob double"
+    if counts is None:
+        return narrow.mapInArrow(_scored(shared, False), schema)
+    rows = narrow.mapInArrow(_scored(shared, True), schema + ", others array<struct<word: binary, times: bigint>>")
+    rows = common.cut(rows.withColumn("rid", F.monotonically_increasing_id()), "scored")  # stored, so that a row has one rid
+    within = rows.select("rid", F.inline("others")).join(shares(counts, frequent), "word").groupBy("rid").agg(F.sum(F.col("times") * F.col("share")).alias("within"))
+    log_prob = F.col("log_prob") + F.coalesce("within", F.lit(0.0))
+    out = rows.drop("others").join(within, "rid", "left")
+    return out.select("doc_id", "n_words", log_prob.alias("log_prob"), F.when(F.col("n_words") > 0, log_prob / F.col("n_words")).otherwise(0.0).alias("mean_log_prob"))

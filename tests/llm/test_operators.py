@@ -458,6 +458,28 @@ def test_lm_scores(spark, docs, none, sf_dir):
     assert frequent == [] and lm.score(none, net, frequent).count() == 0
 
 
+def test_every_word_has_its_own_probability(spark):
+    texts = ["a b a b a b " + "rare " * (k % 3) + f"w{k} w{k % 7} x{k % 50}" for k in range(400)] + [None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = Counter(w for t in texts for w in (t or "").encode().split())
+    found = lm.word_counts(d)
+    frequent = [b"a", b"b"]
+    shares = {bytes(r.word): r.share for r in lm.shares(found, frequent).collect()}
+    buckets = defaultdict(list)
+    for w in set(seen) - set(frequent):
+        buckets[zlib.crc32(w) % lm.HASHED].append(w)
+    assert set(shares) == set(seen) - set(frequent)
+    for ws in buckets.values():
+        assert abs(sum(np.exp(shares[w]) for w in ws) - 1) < 1e-9
+    net = lm.Net.new()
+    whole = {r.doc_id: r for r in lm.score(d, net, frequent, counts=found).collect()}
+    for r in lm.score(d, net, frequent).collect():
+        parts = (texts[r.doc_id] or "").encode().split()
+        want = r.log_prob + sum(shares.get(w, 0.0) for w in parts)
+        assert abs(whole[r.doc_id].log_prob - want) < 1e-6 and abs(whole[r.doc_id].mean_log_prob - want / max(len(parts), 1)) < 1e-6
+    assert len(whole) == len(texts)
+
+
 def test_word_counts(docs):
     want = Counter(w for r in docs.collect() for w in (r.text or "").encode().lower().split())
     assert {bytes(r.word): r.n for r in lm.word_counts(docs).collect()} == want
