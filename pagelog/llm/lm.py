@@ -7,9 +7,9 @@ A word without a class of its own has its hashed class's probability times its p
 corpus have probabilities that sum to one. The counts of these words stay a distributed table, which scoring joins by word.
 A document's score is the sum of the log probabilities of all its words.
 
-Training covers the whole corpus: in each round every task runs Adagrad over its own rows from the shared parameters, on one
-position in STRIDE of every document (a different one each round), and the tasks' parameters are averaged, weighted by
-positions. All positions of all documents are scored.
+Training covers the whole corpus: every position of every document is a target in exactly one round. In each round every task
+runs Adagrad over its own rows from the shared parameters, and the tasks' parameters are averaged, weighted by positions. All
+positions of all documents are scored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pagelog.llm import common
 GROUPS, HASHED = 48, 256
 CLASSES = GROUPS * GROUPS
 DIM, WINDOW = 16, 2
-ROUNDS, STRIDE, BATCH, RATE = 2, 16, 4096, 0.2
+ROUNDS, BATCH, RATE = 2, 4096, 0.2
 PAD = CLASSES
 #: Distinct words that a task counts before it hands them on.
 HELD = 200_000
@@ -72,21 +72,28 @@ class Net:
         return near, np.tanh(np.einsum("nod,od->nd", near, self.p["a"]) + self.p["b"])
 
     @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z = z - z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+        z -= z.max(axis=1, keepdims=True)
+        return z[np.arange(len(z)), at] - np.log(np.exp(z).sum(axis=1))
+
+    @staticmethod
+    def _softmax(z: np.ndarray) -> np.ndarray:
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        return z
 
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log probability of each target given its context (n, 2 * WINDOW)."""
         p, (_, h) = self.p, self._hidden(context)
         group, member = target // GROUPS, target % GROUPS
-        out = self._log_softmax(h @ p["wg"] + p["bg"])[np.arange(len(target)), group].astype(np.float64)
+        out = self._log_softmax_at(h @ p["wg"] + p["bg"], group).astype(np.float64)
         order = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
         for g in range(GROUPS):
             at = order[cuts[g] : cuts[g + 1]]
             if len(at):
-                out[at] += self._log_softmax(h[at] @ p["wm"][g] + p["bm"][g])[np.arange(len(at)), member[at]]
+                out[at] += self._log_softmax_at(h[at] @ p["wm"][g] + p["bm"][g], member[at])
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, seen: dict[str, np.ndarray], rate: float) -> None:
@@ -94,7 +101,7 @@ class Net:
         p, (near, h), n = self.p, self._hidden(context), len(target)
         group, member = target // GROUPS, target % GROUPS
         grad = {k: np.zeros_like(v) for k, v in p.items()}
-        d = np.exp(self._log_softmax(h @ p["wg"] + p["bg"]))
+        d = self._softmax(h @ p["wg"] + p["bg"])
         d[np.arange(n), group] -= 1
         grad["wg"], grad["bg"] = h.T @ d, d.sum(axis=0)
         dh = d @ p["wg"].T
@@ -103,13 +110,17 @@ class Net:
         for g in range(GROUPS):
             at = order[cuts[g] : cuts[g + 1]]
             if len(at):
-                d = np.exp(self._log_softmax(h[at] @ p["wm"][g] + p["bm"][g]))
+                d = self._softmax(h[at] @ p["wm"][g] + p["bm"][g])
                 d[np.arange(len(at)), member[at]] -= 1
                 grad["wm"][g], grad["bm"][g] = h[at].T @ d, d.sum(axis=0)
                 dh[at] += d @ p["wm"][g].T
         dz = dh * (1 - h * h)
         grad["b"], grad["a"] = dz.sum(axis=0), np.einsum("nod,nd->od", near, dz)
-        np.add.at(grad["e"], context.ravel(), (dz[:, None, :] * p["a"][None]).reshape(-1, DIM))
+        flat = context.ravel()
+        order = np.argsort(flat, kind="stable")
+        starts = np.flatnonzero(np.r_[True, flat[order[1:]] != flat[order[:-1]]])
+        each = (dz[:, None, :] * p["a"][None]).reshape(-1, DIM)
+        grad["e"][flat[order[starts]]] = np.add.reduceat(each[order], starts, axis=0)
         for k, g in grad.items():
             g = g / np.float32(n)
             seen[k] += g * g
@@ -128,7 +139,9 @@ class Classes:
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(classes of all texts' words, each text with WINDOW pads before and after; words per text)."""
-        lists = [words(t) for t in texts]
+        return self.of_words([words(t) for t in texts])
+
+    def of_words(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         n = np.array([len(x) for x in lists], np.int64)
         ids = np.fromiter(chain.from_iterable(map(self.ids, lists)), np.int32, int(n.sum()))
         out = np.full(len(ids) + 2 * WINDOW * len(lists), PAD, np.int32)
@@ -163,26 +176,31 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _trained(shared, first: int, rate: float):
+def targets(padded: np.ndarray, n: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Where the words of the given part stand: every word of every text is in exactly one part, by its place in the text."""
+    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.flatnonzero(padded != PAD)[place % parts == part]
+
+
+def _trained(shared, part: int, parts: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, frequent = shared.value
-        net, classes, done, trained = Net.unpack(flat), Classes(frequent), 0, 0
+        net, classes, trained = Net.unpack(flat), Classes(frequent), 0
         seen = {k: np.full_like(v, 1e-4) for k, v in net.p.items()}
+        x, y = np.zeros((0, 2 * WINDOW), np.int32), np.zeros(0, np.int32)
         for b in batches:
             texts = b.column(0).to_pylist()
-            xs, ys = [], []
             for lo in range(0, len(texts), 256):
-                padded, _ = classes.of(texts[lo : lo + 256])
-                at = np.flatnonzero(padded != PAD)
-                at = at[(first - done) % STRIDE :: STRIDE]
-                done += int((padded != PAD).sum())
-                xs.append(context(padded, at))
-                ys.append(padded[at])
-            x, y = np.concatenate(xs), np.concatenate(ys)
-            for lo in range(0, len(y), BATCH):
-                if len(y[lo : lo + BATCH]) >= 64 or not trained:
-                    net.step(x[lo : lo + BATCH], y[lo : lo + BATCH], seen, rate) if len(y) else None
-                    trained += len(y[lo : lo + BATCH])
+                padded, n = classes.of(texts[lo : lo + 256])
+                at = targets(padded, n, part, parts)
+                x, y = np.concatenate([x, context(padded, at)]), np.concatenate([y, padded[at]])
+                full = len(y) - len(y) % BATCH
+                for i in range(0, full, BATCH):
+                    net.step(x[i : i + BATCH], y[i : i + BATCH], seen, rate)
+                x, y, trained = x[full:], y[full:], trained + full
+        if len(y):
+            net.step(x, y, seen, rate)
+            trained += len(y)
         if trained:
             yield pa.RecordBatch.from_arrays([pa.array([(net.pack() * trained).tobytes()], pa.binary()), pa.array([trained], pa.int64())], names=["sums", "n"])
 
@@ -213,7 +231,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, counts:
     narrow = docs.select(F.col(text_col).cast("string").alias("text"))
     for k in range(rounds):
         shared = sc.broadcast((net.pack(), frequent))  # a fixed size, whatever the input
-        parts = narrow.mapInArrow(_trained(shared, k * STRIDE // rounds, RATE), "sums binary, n long")
+        parts = narrow.mapInArrow(_trained(shared, k, rounds, RATE), "sums binary, n long")
         got = parts.repartition(SUMS).mapInArrow(_summed, "sums binary, n long").collect()
         n = sum(r.n for r in got)
         if n:
@@ -229,11 +247,11 @@ def shares(counts: DataFrame, frequent: list[bytes]) -> DataFrame:
     return others.join(totals, "bucket").select("word", F.ln(F.col("n") / F.col("total")).alias("share"))
 
 
-def _spelled(classes: Classes, texts: list[str | None]) -> pa.Array:
+def _spelled(classes: Classes, lists: list[list[bytes]]) -> pa.Array:
     """For each text, (word, times) of its words that have no class of their own."""
     found, at = [], [0]
-    for t in texts:
-        found += Counter(w for w in words(t) if w not in classes.rank).items()
+    for parts in lists:
+        found += Counter([w for w in parts if w not in classes.rank]).items()
         at.append(len(found))
     each = pa.StructArray.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([k for _, k in found], pa.int64())], names=["word", "times"])
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), each)
@@ -247,14 +265,15 @@ def _scored(shared, spell: bool):
             texts = b.column(1).to_pylist()
             total, count, spelled = [], [], []
             for lo in range(0, len(texts), 128):
-                padded, n = classes.of(texts[lo : lo + 128])
+                lists = [words(t) for t in texts[lo : lo + 128]]
+                padded, n = classes.of_words(lists)
                 at = np.flatnonzero(padded != PAD)
                 logs = [net.log_prob(context(padded, a), padded[a]) for a in (at[i : i + _STEP] for i in range(0, len(at), _STEP))]
                 sums = np.bincount(np.repeat(np.arange(len(n)), n), np.concatenate(logs) if logs else None, len(n))
                 total += sums.tolist()
                 count += n.tolist()
                 if spell:
-                    spelled.append(_spelled(classes, texts[lo : lo + 128]))
+                    spelled.append(_spelled(classes, lists))
             mean = [t / c if c else 0.0 for t, c in zip(total, count)]
             out = {"doc_id": b.column(0), "n_words": pa.array(count, pa.int64()), "log_prob": pa.array(total, pa.float64()), "mean_log_prob": pa.array(mean, pa.float64())}
             if spell and texts:

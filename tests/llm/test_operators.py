@@ -480,6 +480,22 @@ def test_every_word_has_its_own_probability(spark):
     assert len(whole) == len(texts)
 
 
+def test_training_takes_every_position_once(monkeypatch):
+    texts = [" ".join(f"w{k}x{j}" for j in range(k % 23)) for k in range(300)] + [None, "", "one"]
+    frequent = sorted({w for t in texts for w in lm.words(t)})[: lm.CLASSES - lm.HASHED]
+    taken = []
+    monkeypatch.setattr(lm.Net, "step", lambda self, x, y, seen, rate: taken.extend(map(tuple, np.c_[x, y])))
+
+    class Shared:
+        value = (lm.Net.new().pack(), frequent)
+
+    tables = [pa.RecordBatch.from_pydict({"text": pa.array(texts[lo : lo + 50], pa.string())}) for lo in range(0, len(texts), 50)]
+    n = sum(b.column(1).to_pylist()[0] for k in range(lm.ROUNDS) for b in lm._trained(Shared, k, lm.ROUNDS, lm.RATE)(iter(tables)))
+    padded, _ = lm.Classes(frequent).of(texts)
+    at = np.flatnonzero(padded != lm.PAD)
+    assert n == len(at) and Counter(taken) == Counter(map(tuple, np.c_[lm.context(padded, at), padded[at]]))
+
+
 def test_word_counts(docs):
     want = Counter(w for r in docs.collect() for w in (r.text or "").encode().lower().split())
     assert {bytes(r.word): r.n for r in lm.word_counts(docs).collect()} == want
