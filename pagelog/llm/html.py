@@ -57,6 +57,10 @@ BAD_NAMES = frozenset(
     "search searchform copyright legal disclaimer skip tags".split()
 )
 GOOD_NAMES = frozenset("article content post entry story articlebody body main text".split())
+#: What follows these in a name tells the layout ("has-sidebar"), not what the element holds.
+MODIFIERS = frozenset("has no with without".split())
+#: Words without links from which on a telling name costs a block nothing, on pages that mark no content.
+PLAIN = 40
 
 
 @dataclass
@@ -64,7 +68,8 @@ class Element:
     tag: str
     parent: Element | None
     depth: int
-    bad: bool
+    bad: bool  # by an element or role
+    named: bool  # by a telling name
     good: bool
     hidden: bool
 
@@ -75,10 +80,12 @@ class Block:
     element: Element
     linked: int  # characters within links
     bad: bool = field(init=False)
+    named: bool = field(init=False)  # bad by name only
     good: bool = field(init=False)
 
     def __post_init__(self):
-        self.bad, self.good = self.element.bad, self.element.good
+        e = self.element
+        self.bad, self.named, self.good = e.bad or e.named, e.named and not e.bad, e.good
 
     def features(self) -> list[float]:
         t, n = self.text, len(self.text)
@@ -86,8 +93,25 @@ class Block:
         return [1.0, math.log(n + 1), self.linked / max(n, 1), min(len(_PUNCT.findall(t)) / words, 1.0), min(n / words, 12.0) / 12, float(words >= 12)]
 
 
+def _named(values: list[str], inside: bool) -> tuple[bool, bool]:
+    """(bad, good) by the names of an element; a bad name and a good one beside it cancel out."""
+    bad = good = False
+    for name in " ".join(values).split():
+        words = [w for w in _SPLIT.split(_CAMEL.sub("-", name).lower()) if w]
+        words = words[: next((k for k, w in enumerate(words) if w in MODIFIERS), len(words))]
+        if words and words[-1] == "none":
+            continue
+        names = set(words)
+        telling = names & BAD_NAMES
+        if inside or names & (GOOD_NAMES - {"main", "body"}):
+            telling = telling - {"header"}  # an article's header holds its title; "main-header" is the page's
+        bad, good = bad or bool(telling), good or (not telling and bool(names & GOOD_NAMES))
+    return bad and not good, good and not bad
+
+
 def _element(tag: str, attrs: str, parent: Element | None) -> Element:
     bad, good, hidden = tag in BOILERPLATE, tag in CONTENT, False
+    marked, sole, values = good, tag == "main", []  # sole: the one content of its page
     inside = parent is not None and parent.good
     if tag == "header" and not inside:
         bad = True
@@ -95,22 +119,25 @@ def _element(tag: str, attrs: str, parent: Element | None) -> Element:
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), unescape(value.strip("\"'"))
             if name in ("class", "id"):
-                names = set(_SPLIT.split(_CAMEL.sub("-", value).lower()))
-                # names of the page's own frame ("has-sidebar", "main-header") say nothing on html and body
-                if tag not in ("html", "body", "article", "main"):
-                    bad = bad or bool(names & BAD_NAMES)
-                    good = good or (not bad and bool(names & GOOD_NAMES))
+                values.append(value)
             elif name == "role":
-                bad, good = bad or value.lower() in BAD_ROLES, good or value.lower() in ("main", "article")
+                bad, marked, sole = bad or value.lower() in BAD_ROLES, marked or value.lower() in ("main", "article"), sole or value.lower() == "main"
             elif name == "itemprop":
-                good = good or value.lower() == "articlebody"
+                if value.lower() == "articlebody":
+                    marked = sole = True
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
                 hidden = True
             elif name == "style":
                 hidden = hidden or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+    named, fine = _named(values, inside) if values else (False, False)
+    # names of the page's own frame ("main-header") say nothing on html and body
+    free = tag in ("html", "body", "article", "main")
+    good = good or marked or (fine and not bad and not free)
     if parent is not None:
-        bad, good, hidden = bad or parent.bad, good or parent.good, hidden or parent.hidden
-    return Element(tag, parent, parent.depth + 1 if parent else 0, bad, good, hidden)
+        # content resets a name around it, but an article none within other content: comments can be articles, too
+        kept = parent.named and (named or not (sole or (marked and not inside)))
+        bad, named, good, hidden = bad or parent.bad, kept or (named and not free), good or parent.good, hidden or parent.hidden
+    return Element(tag, parent, parent.depth + 1 if parent else 0, bad, named, good, hidden)
 
 
 def blocks(html: str) -> list[Block]:
@@ -271,11 +298,15 @@ UNTRAINED = (-3.0, 0.7, -4.0, 2.0, 0.0, 1.0)
 
 
 def scores(page: list[Block], weights: tuple[float, ...]) -> list[float]:
-    out = []
+    out, marked = [], any(b.good and not b.bad for b in page)
     for b in page:
         s = sum(map(float.__mul__, weights, b.features()))
         s = max(-TEXT, min(TEXT, s))
-        out.append(s - SEMANTIC if b.bad else s + SEMANTIC if b.good else s)
+        if b.named and not marked:  # a name alone yields to long text where nothing else is content
+            s -= SEMANTIC * max(0.0, 1 - (b.text.count(" ") + 1) * (1 - b.linked / len(b.text)) / PLAIN)
+        else:
+            s += -SEMANTIC if b.bad else SEMANTIC if b.good else 0
+        out.append(s)
     return out
 
 

@@ -226,6 +226,26 @@ def test_pages_without_hints():
     assert html.extract(page) == f"{long.strip()}\nShort.\n{long.strip()}"
 
 
+def test_names_of_the_layout_lose_no_page():
+    long = " ".join(["This is a paragraph of some length, with commas, and it goes on for a while."] * 4)
+    want = f"Title\n{long}"
+    for page in (
+        f'<div class="content has-sidebar"><article><h1>Title</h1><p>{long}</p></article></div>',
+        f'<div class="content no-sidebar"><h1>Title</h1><p>{long}</p></div>',
+        f'<div class="layout-with-sidebar post"><h1>Title</h1><p>{long}</p></div>',
+        f'<div class="post tags-none"><h1>Title</h1><p>{long}</p></div>',
+        f'<div class="container side"><main><h1>Title</h1><p>{long}</p></main></div>',
+        f'<div class="widget"><div itemprop="articleBody"><h1>Title</h1><p>{long}</p></div></div>',
+        f'<div class="main-header">Site of Things</div><div class="content"><div class="side"><main><h1>Title</h1><p>{long}</p></main></div></div>',
+        f'<article><header class="entry-header"><h1>Title</h1></header><p>{long}</p></article>',
+        f'<article><h1>Title</h1><p>{long}</p><div class="comments"><article class="comment"><p>{long}</p></article></div></article>',
+        f'<article><h1>Title</h1><p>{long}</p></article><div class="comments"><article class="comment"><p>{long}</p></article></div><div class="cookie-notice">{long}</div>',
+    ):
+        assert html.extract(page) == want, page
+    assert html.extract(f'<div class="container side"><p>{long}</p><p>{long}</p></div>') == f"{long}\n{long}"
+    assert html.extract(f'<div class="side"><a href="/">{long}</a></div>') == ""
+
+
 # 4 and 6
 
 
