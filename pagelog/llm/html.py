@@ -46,6 +46,11 @@ BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements whose attributes are not looked at.
+INLINE = frozenset("b i em strong span u s small font code sup sub q cite mark abbr time".split())
+#: Elements that need no end tag.
+IMPLIED = frozenset("p li dt dd option tr td th".split())
+_TELLS = re.compile(r"\b(?:class|id|role|hidden|style)\b", re.I)
 BOILERPLATE = frozenset("nav footer aside form menu dialog button fieldset search".split())
 CONTENT = frozenset("article main".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
@@ -72,6 +77,7 @@ class Element:
     named: bool  # by a telling name
     good: bool
     hidden: bool
+    within: int = 0  # open elements of the same tag inside that are no Element
 
 
 @dataclass
@@ -162,6 +168,13 @@ def blocks(html: str) -> list[Block]:
             if in_link:
                 linked += len(text.strip())
 
+    def opened(tag: str) -> Element | None:
+        """The open element of a tag that is no block, which blocks in need of an end tag shield."""
+        e = here
+        while e is not None and e.tag != tag and (e.tag not in BLOCK or e.tag in IMPLIED):
+            e = e.parent
+        return e if e is not None and e.tag == tag and e.parent is not None else None
+
     while at < size:
         m = _TOKEN.search(html, at)
         if m is None:
@@ -182,6 +195,12 @@ def blocks(html: str) -> list[Block]:
                 end_block()
                 if e is not None and e.parent is not None:
                     here = e.parent
+            elif tag not in INLINE and (e := opened(tag)) is not None:
+                if e.within:
+                    e.within -= 1
+                else:
+                    end_block()
+                    here = e.parent
             continue
         if tag in LITERAL and not m[3].endswith("/"):
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
@@ -201,9 +220,14 @@ def blocks(html: str) -> list[Block]:
                 while here.tag == "p" or (here.tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
                     here = here.parent  # an open paragraph ends where a block starts
                 here = _element(tag, m[3], here)
-        elif tag not in VOID and re.search(r"\b(?:class|id|role|hidden|style)\b", m[3]) and tag not in ("b", "i", "em", "strong", "span", "u", "s", "small", "font", "code", "sup", "sub", "q", "cite", "mark", "abbr", "time"):
-            end_block()
-            here = _element(tag, m[3], here)
+        elif tag not in VOID and tag not in INLINE and not m[3].endswith("/"):
+            e = _element(tag, m[3], here) if _TELLS.search(m[3]) else here
+            # only what tells it from the text around ends a block
+            if (e.bad, e.named, e.hidden) != (here.bad, here.named, here.hidden) or ("-" in tag and e.good != here.good):
+                end_block()
+                here = e
+            elif (e := opened(tag)) is not None:
+                e.within += 1
     end_block()
     return out
 

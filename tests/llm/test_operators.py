@@ -246,6 +246,18 @@ def test_names_of_the_layout_lose_no_page():
     assert html.extract(f'<div class="side"><a href="/">{long}</a></div>') == ""
 
 
+def test_elements_that_are_no_blocks_end():
+    a, b, c = (f"{w} paragraph of the article, with commas, and it goes on for a while." for w in ("First", "Second", "Third"))
+    for ad in (
+        '<ins class="ad">Buy</ins>', "<ins hidden>Buy</ins>", '<amp-ad class="ad"><div>Buy</div></amp-ad>', '<ins class="ad">Buy<ins>this</ins>now</ins>',
+        '<x-y style="display:none"><p>Buy</x-y>', '<ins class="ad"/>', '<p><del class="ad">Buy</p>', '<picture class="ad"><source><img></picture></picture>',
+    ):
+        assert html.extract(f"<article><p>{a}</p>{ad}<p>{b}</p><p>{c}</p></article>") == f"{a}\n{b}\n{c}", ad
+    page = f'<article><p>{a} <kbd class="key">Ctrl</kbd> and <ins id="x7">more</ins> text.</p></article>'
+    assert html.extract(page) == f"{a} Ctrl and more text."
+    assert html.extract(f'<article><p>{a} <ins class="ad">Buy</ins> {b}</p></article>') == f"{a}\n{b}"
+
+
 # 4 and 6
 
 
