@@ -47,6 +47,11 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return table(df, tag)[0]
 
 
+def with_rids(docs: DataFrame, name: str = "__rid") -> DataFrame:
+    """``docs`` and a number for each row, stored: the numbers are the same in every later scan, however files are split."""
+    return cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a scratch table once nothing reads it any more."""
     jvm = spark._jvm

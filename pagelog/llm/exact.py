@@ -29,9 +29,9 @@ def _named(bucket: str | Column, *order: str) -> Column:
     return F.col(bucket) * F.lit(_RANKS) + F.dense_rank().over(w)
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
+def _blocks(docs: DataFrame, id_col: str, text_col: str, block: int, rid: Column) -> DataFrame:
     """(rid, doc_id, sha, n, pos, block, h): the blocks of each row's normalised text; an empty text has one empty block."""
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), common.lower_az(F.col(text_col).cast("string")).cast("binary").alias("bin"))
+    base = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), common.lower_az(F.col(text_col).cast("string")).cast("binary").alias("bin"))
     n = F.greatest(F.ceil(F.octet_length("bin") / F.lit(block)), F.lit(1)).cast("int")
     base = base.select("rid", "doc_id", "bin", n.alias("n"))
     cut = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("bin"), i * block + 1, F.lit(block)))
@@ -48,8 +48,8 @@ def _common(blocks: DataFrame) -> list[int]:
     return out
 
 
-def _level0(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
-    blocks = _blocks(docs, id_col, text_col, block)
+def _level0(docs: DataFrame, id_col: str, text_col: str, block: int, rid: Column) -> DataFrame:
+    blocks = _blocks(docs, id_col, text_col, block, rid)
     often = _common(blocks.select("h"))
     if often:
         # Their distinct contents: at most COMMON blocks, unless different blocks share a hash.
@@ -66,12 +66,13 @@ def _level0(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFram
     return blocks.withColumn("name", F.coalesce("known", _named("bucket", "block"))).select("rid", "n", "pos", "name", "doc_id", "sha")
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, rid: Column | None = None) -> DataFrame:
     """(rid, doc_id, sha, n, name) per row: equal (n, name) if and only if the normalised texts are equal.
 
-    rid is monotonically_increasing_id() over ``docs``, so ``docs`` must be a plain scan if it is to be joined by rid.
+    rid is monotonically_increasing_id() over ``docs`` if not given; to join by rid, give a stored column.
     """
-    level = common.cut(_level0(docs, id_col, text_col, block), "level0")
+    rid = F.monotonically_increasing_id() if rid is None else rid
+    level = common.cut(_level0(docs, id_col, text_col, block, rid), "level0")
     heads = level.where("pos = 0").select("rid", "doc_id", "sha", "n", "name")
     most = level.agg(F.max("n")).first()[0] or 1
     if most == 1:
@@ -91,14 +92,14 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return heads.join(done, "rid", "left").select("rid", "doc_id", "sha", "n", F.coalesce("last", "name").alias("name"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, rid: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: rid, doc_id, keep_id, group_size, kept, text_sha256.
 
     A null text counts as empty; A-Z count as a-z. Of equal texts the row with the largest doc_id stays (a null doc_id is
     below all others); of rows that also share the doc_id, one stays. An empty table gives an empty result; other columns
     are ignored.
     """
-    ids = common.cut(identities(docs, id_col, text_col, block), "ids")
+    ids = common.cut(identities(docs, id_col, text_col, block, rid), "ids")
     groups = common.cut(ids.groupBy("n", "name").agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("group_size")), "groups")
     # Rows of the largest groups, of which there are COMMON at most, meet their group by broadcast; all others by a shuffle
     # in which no group is large.
@@ -110,6 +111,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. ``docs`` must be a plain scan of files."""
-    kept = exact_groups(docs, id_col, text_col, block).where("kept").select(F.col("rid").alias("__kept"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(kept, F.col("__rid") == F.col("__kept"), "left_semi").drop("__rid")
+    """The rows of ``docs`` that stay, with all their columns."""
+    docs = common.with_rids(docs)
+    kept = exact_groups(docs, id_col, text_col, block, F.col("__rid")).where("kept").select(F.col("rid").alias("__kept"))
+    return docs.join(kept, F.col("__rid") == F.col("__kept"), "left_semi").drop("__rid")

@@ -15,7 +15,7 @@ from itertools import islice, product, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelog.llm import common
@@ -57,12 +57,13 @@ def _fingerprints(shingle: int):
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, rid: Column | None = None) -> DataFrame:
     """(doc_id, fp long, rid long) of every row; a null or wordless text has fingerprint zero.
 
-    rid is monotonically_increasing_id() over ``docs``.
+    rid is monotonically_increasing_id() over ``docs`` if not given.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("rid"))
+    rid = F.monotonically_increasing_id() if rid is None else rid
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), rid.alias("rid"))
     return narrow.mapInArrow(_fingerprints(shingle), "doc_id long, fp long, rid long")
 
 
@@ -164,9 +165,9 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(_compare(radius), "a long, b long")
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle: int, rid: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """((doc_id, fp, rid) of every row, (fp, root, first_id) of every distinct fingerprint)"""
-    fps = common.cut(fingerprints(docs, id_col, text_col, shingle), "fp")
+    fps = common.cut(fingerprints(docs, id_col, text_col, shingle, rid), "fp")
     distinct = common.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = common.components(links(distinct, radius))
     return fps, distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
@@ -186,11 +187,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of each group, all columns kept: that of the smallest doc_id, null last; one of them if rows share it.
-
-    ``docs`` must be a plain scan of files.
-    """
-    fps, named = _grouped(docs, id_col, text_col, radius, SHINGLE)
+    """One row of each group, all columns kept: that of the smallest doc_id, null last; one of them if rows share it."""
+    docs = common.with_rids(docs)
+    fps, named = _grouped(docs, id_col, text_col, radius, SHINGLE, F.col("__rid"))
     first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
     kept = first.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("__kept"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(kept, F.col("__rid") == F.col("__kept"), "left_semi").drop("__rid")
+    return docs.join(kept, F.col("__rid") == F.col("__kept"), "left_semi").drop("__rid")

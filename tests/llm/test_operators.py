@@ -258,6 +258,21 @@ def test_elements_that_are_no_blocks_end():
     assert html.extract(f'<article><p>{a} <ins class="ad">Buy</ins> {b}</p></article>') == f"{a}\n{b}"
 
 
+@pytest.mark.parametrize("kept", [exact.drop_exact_copies, simhash.drop_near_copies])
+def test_rows_stay_when_files_are_split_anew(spark, tmp_path, kept):
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(30)) for _ in range(40)]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts[:20])], "doc_id long, text string")
+    d.repartition(12, "doc_id").write.parquet(f"file://{tmp_path}/d")
+    docs = spark.read.parquet(f"file://{tmp_path}/d")
+    out = kept(docs)  # the decision is made; the rows are read with other splits
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        assert Counter(x.text for x in out.collect()) == Counter(texts)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 # 4 and 6
 
 
