@@ -62,16 +62,19 @@ def features(word: str) -> list[int]:
 class Model:
     weights: np.ndarray
     bias: float
+    #: The score of every document, whatever its sentences, where the labels show one class only.
+    constant: float | None = None
 
     def of_words(self, words: list[str]) -> list[float]:
         return [float(self.weights[features(w)].sum()) for w in words]
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
-    """Full-batch proximal Adam on the noisy-or likelihood. With one class only, every sentence gets a constant far from it."""
+    """Full-batch proximal Adam on the noisy-or likelihood. With one class only, every document gets a constant far from the threshold."""
     y = np.array(labels, bool)
     if not len(y) or y.all() or not y.any():
-        return Model(np.zeros(BUCKETS, np.float32), 5.0 if len(y) and y.all() else START)
+        bias = 5.0 if len(y) and y.all() else START
+        return Model(np.zeros(BUCKETS, np.float32), bias, float(1 / (1 + np.exp(-bias))))
     # Word numbers of each sentence, and features of each word, end to end in typed arrays: a few bytes for each.
     number: dict[str, int] = {}
     flat, sizes, per_doc, feat_, per_word = array("i"), array("i"), array("i"), array("i"), array("i")
@@ -162,7 +165,7 @@ def _scored(model) -> object:
                 for ws, ss in zip(words, spans):
                     z = np.array([sum(map(known.__getitem__, s)) for s in ws]) + m.bias
                     k = int(z.argmax())
-                    score.append(float(-np.expm1(-np.logaddexp(0, np.clip(z, -30, 30)).sum())))
+                    score.append(float(-np.expm1(-np.logaddexp(0, np.clip(z, -30, 30)).sum())) if m.constant is None else m.constant)
                     worst.append(float(1 / (1 + np.exp(-np.clip(z[k], -30, 30)))))
                     start.append(ss[k][0])
                     end.append(ss[k][1])

@@ -582,6 +582,16 @@ def test_toxicity_of_odd_rows(spark, docs, none, clashing):
     assert toxicity.train(docs, nulls).weights.any() == False  # noqa: E712
 
 
+@pytest.mark.parametrize("labels", [[], [0, 0], [1, 1]])
+def test_one_class_scores_all_lengths_alike(spark, labels):
+    model = toxicity.fit(["one", "two"][: len(labels)], labels)
+    long = "A sentence of words. " * 1000
+    d = spark.createDataFrame([(1, long), (2, "short"), (3, None)], "doc_id long, text string")
+    got = toxicity.score(d, model).collect()
+    assert {r.predicted for r in got} == {int(any(labels))} and len({r.score for r in got}) == 1
+    assert toxicity.drop_toxic(d, model).count() == (0 if any(labels) else 3)
+
+
 def test_toxicity_on_held_out_labels(spark, sf_dir):
     d = sf_dir.replace("0.001", "0.1")
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
