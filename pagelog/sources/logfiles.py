@@ -45,11 +45,13 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", F.col("dir").cast("int").alias("level"), F.col("id.min_txid").alias("min_txid"), F.col("id.max_txid").alias("max_txid"), "size_bytes", F.lit(None).cast("bigint").alias("created_at_ms"))
 
 
-def _verdict(path: str, data: bytes, version: str, limits: codec.Limits, header_only: bool) -> tuple[dict, codec.LogFile | None]:
+def _verdict(path: str, data: bytes | None, version: str, limits: codec.Limits, header_only: bool, size: int | None = None) -> tuple[dict, codec.LogFile | None]:
     row = dict.fromkeys(["flags", *_HEAD, "post_apply_checksum", "file_checksum", "page_count", "error"])
-    row |= {"path": path, "size_bytes": len(data), "status": "verified"}
+    row |= {"path": path, "size_bytes": len(data) if size is None else size, "status": "verified"}
     parts = path.rsplit("/", 2)
     row["level"] = int(parts[1]) if len(parts) == 3 and parts[1].isdigit() and len(parts[1]) in (1, 4) else None
+    if data is None:  # too long to be read
+        return row | {"status": "failed", "error": "InputLimitExceeded"}, None
     try:
         f = codec.decode(data, version, limits, header_only)
     except codec.FormatError as e:
@@ -72,8 +74,8 @@ def _files(version: str, limits: codec.Limits, header_only: bool):
         types = {"path": pa.string(), "status": pa.string(), "error": pa.string(), "level": pa.int32(), "page_size": pa.int32()}
         names = [c.split()[0] for c in FILES.replace("decimal(20,0)", "decimal").split(", ")]
         for b in batches:
-            for path, content in zip(b.column(0), b.column(1)):
-                row, _ = _verdict(path.as_py(), content.as_py(), version, limits, header_only)
+            for path, size, content in zip(b.column(0), b.column(1).to_pylist(), b.column(2)):
+                row, _ = _verdict(path.as_py(), content.as_py(), version, limits, header_only, size)
                 yield pa.RecordBatch.from_arrays([_decimal([row[n]]) if n in _WIDE else pa.array([row[n]], types.get(n, pa.int64())) for n in names], names=names)
 
     return run
@@ -81,7 +83,10 @@ def _files(version: str, limits: codec.Limits, header_only: bool):
 
 def read_files(spark: SparkSession, path: str, version: str = "v3", limits: codec.Limits = codec.Limits(), header_only: bool = False) -> DataFrame:
     """One verdict row per file. The version is told, not guessed. ``header_only`` checks headers and leaves pages alone."""
-    return _scan(spark, path).where(F.col("length") <= limits.max_input_bytes).select("path", "content").mapInArrow(_files(version, limits, header_only), FILES)
+    files, fits = _scan(spark, path), F.col("length") <= limits.max_input_bytes
+    # a scan that asks for no content opens no file
+    long = files.where(~fits).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return files.where(fits).select("path", "length", "content").union(long).mapInArrow(_files(version, limits, header_only), FILES)
 
 
 def _pages(version: str, limits: codec.Limits, strict: bool):

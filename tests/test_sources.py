@@ -70,6 +70,15 @@ def test_a_real_log(spark, tmp_path):
     assert wal.salts((tmp_path / "a.db-wal").read_bytes()) != []
 
 
+def test_oversized_file_gives_its_verdict(spark, tmp_path):
+    (tmp_path / "0").mkdir()
+    good = K.encode(K.Header(page_size=512, commit=1), [(1, P[1])])
+    (tmp_path / "0" / "0000000000000001-0000000000000001.ltx").write_bytes(good)
+    (tmp_path / "0" / "0000000000000002-0000000000000002.ltx").write_bytes(good + bytes(900))
+    got = logfiles.read_files(spark, f"file://{tmp_path}", limits=K.Limits(max_input_bytes=len(good))).orderBy("size_bytes").collect()
+    assert [(r.status, r.error, r.size_bytes, r.level) for r in got] == [("verified", None, len(good), 0), ("failed", "InputLimitExceeded", len(good) + 900, 0)]
+
+
 def test_files_and_pages(spark, tmp_path):
     folder = tmp_path / "ltx" / "0"
     folder.mkdir(parents=True)
