@@ -58,17 +58,3 @@ def marked(text: str) -> list[str]:
     if "" in parts or MARK in text:
         return _RUN.findall(MARK + text.replace(" ", MARK))
     return parts
-
-
-#: Where a space does not stand alone, or another character than space and \\n may be space to someone.
-ODD = r"  | \n|\n |^ | $|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
-
-def spaced(text: str) -> list[str]:
-    """Chunks of a text cut at each space that stands alone between two other characters; the space belongs to the chunk after.
-
-    Byte-level patterns start a new word there. All chunks but the first are to be read with a space in front. \\s here holds
-    every character that those patterns hold to be space. Texts that ODD does not match may be split at every space.
-    """
-    return _SPACE.split(text)

@@ -14,12 +14,10 @@ one such frame after its seek table.
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +39,12 @@ END_ID = 0
 LEVEL = 3
 #: Bytes of frames that are handed to the writer as one row.
 ROW = 1 << 20
-#: Bytes of text that are encoded together, and distinct chunks whose ids a worker holds.
-SLICE, ENTRIES = 1 << 22, 1_000_000
-#: Words encoded as one text.
-JOIN = 64
-_LAST = "ɏ"
-#: Words of Latin letters, each alone or with one mark behind, and a line break between them: the pattern cuts just there.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)(?:(\n)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?))?")
+#: Rows of a file, the last one its tables; so a file holds about as many MiB, and no reader holds more.
+ROWS = 64
+#: Bytes of text that are encoded together, and of words and their ids that each half of a worker's table holds.
+SLICE, HELD = 1 << 22, 32 << 20
+#: Words encoded as one text, and what one entry of a table takes besides its contents.
+JOIN, ENTRY = 64, 190
 
 
 def default_tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -56,11 +53,106 @@ def default_tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Classes of bytes: letter, digit, space, other white space, mark, unknown; 0 goes on with the byte before.
+_LETTER, _DIGIT, _BLANK, _WHITE, _MARK, _UNKNOWN = range(1, 7)
+
+
+def _classes() -> np.ndarray:
+    out = np.full(256, _UNKNOWN, np.uint8)
+    out[0x21:0x7F] = _MARK
+    out[0x30:0x3A] = _DIGIT
+    out[0x41:0x5B] = out[0x61:0x7B] = out[0xC3:0xC9] = _LETTER  # U+00C0 to U+023F, but for two
+    out[0x27] = _UNKNOWN  # an apostrophe may start a contraction
+    out[0x80:0xC0] = 0
+    out[0x20] = _BLANK
+    out[0x09:0x0E] = _WHITE
+    return out
+
+
+_CLASS = _classes().tobytes()
+#: Control characters, and what else may be white space to someone.
+_ODD = r"[\x00-\x08\x0e-\x1f\x7f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the byte-level pattern surely starts a new word in texts laid end to end; each text starts one.
+
+    A word is a run of letters, digits or marks with a space before it if there is one; of a run of white space, the last
+    character stands apart from the rest if something follows. Runs without white space that hold a byte of unknown class
+    stay whole, so what lies between two cuts may be several words. No text may match _ODD.
+    """
+    n = len(data)
+    kind = np.frombuffer(bytearray(data.tobytes().translate(_CLASS)), np.uint8)
+    for at in np.flatnonzero((data == 0xC3) & np.isin(data.take(np.arange(1, n + 1), mode="clip"), (0x97, 0xB7))) if (data == 0xC3).any() else ():
+        kind[at] = _UNKNOWN  # the signs for times and division
+    rest = np.flatnonzero(kind == 0)
+    for _ in range(3):
+        rest = rest[kind[rest] == 0]
+        kind[rest] = kind[rest - 1]
+    white = (kind == _BLANK) | (kind == _WHITE)
+    first = np.zeros(n + 1, bool)
+    first[starts] = True
+    first[n] = True
+    out = np.empty(n, bool)
+    out[0] = True
+    # another class starts a word, but for what follows a space
+    out[1:] = (kind[1:] != kind[:-1]) & ((kind[:-1] != _BLANK) | white[1:])
+    # within white space only its last character may, where text follows
+    inner = np.flatnonzero(white[1:] & white[:-1]) + 1
+    ends = np.minimum(inner + 1, n - 1)
+    out[inner] = ~white[ends] & ~first[inner + 1]
+    out |= first[:n]
+    unknown = np.flatnonzero(kind == _UNKNOWN)
+    if len(unknown):
+        solid = ~white
+        begin = solid.copy()
+        begin[1:] &= white[:-1] | first[1:n]
+        stop = solid.copy()
+        stop[:-1] &= white[1:] | first[1:n]
+        begin, stop = np.flatnonzero(begin), np.flatnonzero(stop)
+        held = np.unique(np.searchsorted(begin, unknown, "right") - 1)
+        mark = np.zeros(n + 1, np.int8)
+        mark[begin[held] + 1] += 1
+        mark[stop[held] + 1] -= 1
+        out &= np.cumsum(mark[:n], dtype=np.int8) == 0
+    return out
+
+
+class Words:
+    """What distinct words become, in two halves of bounded size: when the new half is full, it replaces the old one.
+
+    It lives in a Python worker and only saves work: any word can be worked out again.
+    """
+
+    def __init__(self, work, held: int = HELD):
+        self.work, self.held, self.size, self.new, self.old = work, held, 0, {}, {}
+
+    def of(self, parts: list[str]) -> list[bytes]:
+        """The value of each of some distinct words."""
+        out = list(map(self.new.get, parts))
+        gone = [k for k, v in enumerate(out) if v is None]
+        if not gone:
+            return out
+        missing = [parts[k] for k in gone]
+        found = list(map(self.old.get, missing))
+        fresh = iter(self.work([p for p, v in zip(missing, found) if v is None]))
+        found = [next(fresh) if v is None else v for v in found]
+        for k, v in zip(gone, found):
+            out[k] = v
+        for lo in range(0, len(gone), 512):
+            if self.size >= self.held:
+                self.old, self.new, self.size = self.new, {}, 0
+            some = {p: v for p, v in zip(missing[lo : lo + 512], found[lo : lo + 512]) if len(p) <= chunks.LONG}
+            self.new.update(some)
+            self.size += ENTRY * len(some) + sum(map(len, some)) + sum(map(len, some.values()))
+        return out
+
+
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them without added special tokens.
 
-    Byte-level patterns start a new word at a space that stands alone, so texts are cut there and each distinct chunk is
-    encoded once per table, most of them from a second table of words. Texts that hold a special token's string are encoded whole.
+    Texts are cut where the byte-level pattern surely cuts them, as whole arrays of bytes; each distinct word goes through
+    the library once per table, and ids are joined back by position. Texts that hold a special token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -75,52 +167,33 @@ class Encoder:
         size = self.tk.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.spaces = np.array([(self.tk.id_to_token(i) or "")[:1] == "Ġ" for i in range(size)])
-        # The same vocabulary and merges without the pattern, for words that the pattern would leave whole.
-        self.bare = Tokenizer.from_file(path)
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.first, self.later = chunks.Table(self._ids), chunks.Table(self._chunks, ENTRIES)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, parts: list[str]) -> Iterator[bytes]:
-        """Ids of runs of letters with a space put in front: each is one word of the pattern."""
-        groups = [parts[lo : lo + JOIN] for lo in range(0, len(parts), JOIN)]
-        for e in self.bare.encode_batch_fast([[" " + p for p in g] for g in groups], is_pretokenized=True, add_special_tokens=False):
-            a = np.array(e.ids)
-            at = (np.flatnonzero(self.spaces[a]) * self.dtype.itemsize).tolist()  # a word starts at a token with the space
-            raw = a.astype(self.dtype).tobytes()
-            for i, j in zip(at, [*at[1:], len(raw)]):
-                yield raw[i:j]
-
-    def _chunks(self, parts: list[str]) -> list[bytes]:
-        """Ids of each chunk with a space put in front.
-
-        One that is plainly words, marks and line breaks is put together from its words, which the tables may know already.
-        """
+        # The same vocabulary and merges cut at spaces only, for words that the pattern would leave whole.
+        self.bare = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": None}))
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.table = Words(self._worked)
+
+    def _ids(self, texts: list[str]) -> Iterator[bytes]:
+        for lo in range(0, len(texts), 1024):
+            for e in self.tk.encode_batch_fast(texts[lo : lo + 1024], add_special_tokens=False):
+                yield np.array(e.ids, self.dtype).tobytes()
+
+    def _worked(self, parts: list[str]) -> list[bytes]:
+        """Ids of each word; those of a space and letters are many to a text, told apart by the tokens that hold the space."""
         out: list = [None] * len(parts)
-        lone, built, rest, known = {}, [], [], self.later
-        for k, p in enumerate(parts):
-            if p.isalpha() and max(p) <= _LAST:
-                lone[p] = None
-            elif m := _PLAIN.fullmatch(p):
-                built.append((k, m.groups()))
-                if m[1] not in known:
-                    lone[m[1]] = None
-            else:
-                rest.append(k)
-        words = list(lone)
-        lone = dict(zip(words, self._words(words)))
-        tails = self.first.of([g for _, gs in built for g in gs[1:] if g])
-        at = 0
-        for k, gs in built:
-            n = sum(1 for g in gs[1:] if g)
-            w = gs[0]
-            out[k] = b"".join([lone[w] if w in lone else known[w], *tails[at : at + n]])
-            at += n
-        for k, v in zip(rest, self._ids([" " + parts[k] for k in rest])):
+        plain = [k for k, p in enumerate(parts) if p[0] == " " and p[1:].isalpha() and (p.isascii() or max(p) < "ɀ")]
+        for lo in range(0, len(plain), JOIN * 64):
+            some = plain[lo : lo + JOIN * 64]
+            groups = [some[i : i + JOIN] for i in range(0, len(some), JOIN)]
+            for g, e in zip(groups, self.bare.encode_batch_fast(["".join([parts[k] for k in g]) for g in groups], add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                at = (np.flatnonzero(self.spaces[ids]) * self.dtype.itemsize).tolist()
+                raw = ids.tobytes()
+                for k, i, j in zip(g, at, [*at[1:], len(raw)]):
+                    out[k] = raw[i:j]
+        rest = [k for k, v in enumerate(out) if v is None]
+        for k, v in zip(rest, self._ids([parts[k] for k in rest])):
             out[k] = v
-        return [lone[p] if v is None else v for p, v in zip(parts, out)]
+        return out
 
     def encode(self, texts: pa.Array, end: int | None = None) -> Iterator[bytes]:
         """Ids of each text, null as empty, with an end id behind if one is given."""
@@ -128,53 +201,44 @@ class Encoder:
         stop = b"" if end is None else np.array([end], self.dtype).tobytes()
         size = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)) if len(texts) else np.zeros(0, np.int32)
         group = (np.cumsum(size, dtype=np.int64) - size) // SLICE
-        cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist() if len(texts) else []
-        for lo, hi in zip(cuts, [*cuts[1:], len(texts)]):
+        at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist() if len(texts) else []
+        for lo, hi in zip(at, [*at[1:], len(texts)]):
             for ids in self._slice(texts.slice(lo, hi - lo)):
                 yield ids + stop
 
     def _slice(self, texts: pa.Array) -> list[bytes]:
-        odd = pc.match_substring_regex(texts, chunks.ODD)
+        odd = pc.match_substring_regex(texts, _ODD) if self.cuts else pa.array(np.ones(len(texts), bool))
         for s in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, s))
-        odd = pc.or_(odd, pc.equal(texts, "")).to_numpy(zero_copy_only=False) if self.cuts else np.ones(len(texts), bool)
-        even = np.flatnonzero(~odd)
-        out: list = [b""] * len(texts)
+        odd, empty = odd.to_numpy(zero_copy_only=False), pc.equal(texts, "").to_numpy(zero_copy_only=False)
+        even, odd = np.flatnonzero(~odd & ~empty), np.flatnonzero(odd & ~empty)
+        out = [b""] * len(texts)
         if len(even):
-            for k, ids in zip(even.tolist(), self._even(texts.take(pa.array(even)))):
+            for k, ids in zip(even.tolist(), self._even(texts if len(even) == len(texts) else texts.take(pa.array(even)))):
                 out[k] = ids
-        rest = np.flatnonzero(odd).tolist()
-        some = [texts[k].as_py() for k in rest]
-        whole = [not self.cuts or any(s in t for s in self.special) for t in some]
-        parts = [[] if w or not t else chunks.spaced(t) for t, w in zip(some, whole)]
-        first = iter(self.first.of([ps[0] for ps in parts if ps]))
-        later = iter(self.later.of([p for ps in parts for p in ps[1:]]))
-        for k, ps in zip(rest, parts):
-            if ps:
-                out[k] = b"".join([next(first), *islice(later, len(ps) - 1)])
-        at = [k for k, t, w in zip(rest, some, whole) if w and t]
-        for k, v in zip(at, self._ids([t for t, w in zip(some, whole) if w and t])):
-            out[k] = v
+        for k, ids in zip(odd.tolist(), self._ids(texts.take(pa.array(odd)).to_pylist())):
+            out[k] = ids
         return out
 
     def _even(self, texts: pa.Array) -> Iterator[bytes]:
-        """Texts without odd spaces: split, made distinct and joined back by position as whole arrays."""
-        lists = pc.split_pattern(texts, " ")
-        offsets = lists.offsets.to_numpy()
-        flat = lists.flatten().dictionary_encode()
-        at = flat.indices.to_numpy().astype(np.int64)
-        distinct = flat.dictionary.to_pylist()
+        """Texts that are not empty and not odd: cut, made distinct and joined back by position as whole arrays."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+        data = np.frombuffer(texts.buffers()[2], np.uint8, int(offsets[-1]))[offsets[0] :]
         starts = offsets[:-1] - offsets[0]
-        values = self.later.of(distinct) + self.first.of([distinct[k] for k in at[starts].tolist()])
-        at[starts] = len(distinct) + np.arange(len(starts))
-        size = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
-        ids, begin = np.frombuffer(b"".join(values), self.dtype), np.cumsum(size) - size
+        begin = np.flatnonzero(cuts(data, starts)).astype(np.int32)
+        flat = pa.StringArray.from_buffers(len(begin), pa.py_buffer(np.r_[begin, np.int32(len(data))]), pa.py_buffer(data)).dictionary_encode()
+        values = self.table.of(flat.dictionary.to_pylist())
+        size = np.fromiter(map(len, values), np.int32, len(values)) // self.dtype.itemsize
+        at = flat.indices.to_numpy()
         n = size[at]
-        ends = np.cumsum(n)
-        got = ids[np.repeat(begin[at] - (ends - n), n) + np.arange(int(ends[-1]))]
-        stops = ends[offsets[1:] - offsets[0] - 1].tolist()
+        ends = np.cumsum(n, dtype=np.int64)
+        ids = np.frombuffer(b"".join(values), self.dtype)
+        where = np.repeat((np.cumsum(size) - size)[at] - (ends - n), n)
+        where += np.arange(len(where))
+        got = ids[where].tobytes()
+        stops = (ends[np.r_[np.searchsorted(begin, starts[1:]), len(begin)] - 1] * self.dtype.itemsize).tolist()
         for i, j in zip([0, *stops], stops):
-            yield got[i:j].tobytes()
+            yield got[i:j]
 
 
 @lru_cache(maxsize=2)
@@ -192,15 +256,15 @@ def _check(data: bytes) -> int:
 class Writer:
     """Turns documents into the rows of one file."""
 
-    def __init__(self, number: int, dtype: np.dtype):
-        self.number, self.dtype = number, dtype
+    def __init__(self, number: int, dtype: np.dtype, row: int = ROW):
+        self.number, self.dtype, self.most = number, dtype, row
         self.press = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
         self.entries: list[tuple[int, int, int]] = []
         self.ids: list[int | None] = []
-        self.row = bytearray()
+        self.row, self.rows = bytearray(), 0
 
     def _cut(self) -> bytes:
-        out, self.row = bytes(self.row), bytearray()
+        out, self.row, self.rows = bytes(self.row), bytearray(), self.rows + 1
         self.entries.append((len(PAD), 0, _check(b"")))  # the separator that will follow
         return out
 
@@ -209,7 +273,7 @@ class Writer:
         self.row += frame
         self.entries.append((len(frame), len(ids), _check(ids)))
         self.ids.append(doc_id)
-        if len(self.row) >= ROW:
+        if len(self.row) >= self.most:
             yield self._cut()
 
     def finish(self) -> Iterator[bytes]:
@@ -267,16 +331,20 @@ class Reader:
         return np.frombuffer(data, f"<u{self.width}")
 
 
-def _files(path: str | None, end_id: int):
+def _files(path: str | None, end_id: int, n_rows: int, row: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = lambda parts: ([pa.RecordBatch.from_arrays([pa.array([p], pa.binary())], names=["value"])] for p in parts)
         enc = _encoder(path or default_tokenizer())
-        out = None
+        number, out = TaskContext.get().partitionId() << 32, None
         for b in batches:
-            out = out or Writer(TaskContext.get().partitionId(), enc.dtype)
             for i, data in zip(b.column(0).to_pylist(), enc.encode(b.column(1), end_id)):
+                out = out or Writer(number, enc.dtype, row)
                 for r in rows(out.add(i, data)):
                     yield from r
+                if out.rows == n_rows - 1:  # with the tables it has n_rows, at which Spark's writer starts its next file
+                    for r in rows(out.finish()):
+                        yield from r
+                    number, out = number + 1, None
         if out:
             for r in rows(out.finish()):
                 yield from r
@@ -284,8 +352,10 @@ def _files(path: str | None, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
-    """Write the ids of every row of ``docs``, in ascending order of doc_id (null first), one file per range of doc_ids.
+def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, n_rows: int = ROWS, row: int = ROW) -> None:
+    """Write the ids of every row of ``docs``, in ascending order of doc_id (null first), in files of about ``n_rows`` * ``row`` bytes at most.
+
+    A task writes one range of doc_ids, file after file. Only a single document's frame can make a file longer.
 
     A null or empty text has the end id only. Rows that share a doc_id are spread over files by a hash of their text. An
     empty table writes no documents; other columns are ignored. ``path`` must not exist.
@@ -293,8 +363,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tie = F.xxhash64("text")
     dealt = narrow.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-    rows = dealt.mapInArrow(_files(tokenizer, end_id), "value binary")
-    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", PAD.decode("latin-1")).text(path)
+    rows = dealt.mapInArrow(_files(tokenizer, end_id, n_rows, row), "value binary")
+    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", PAD.decode("latin-1")).option("maxRecordsPerFile", n_rows).text(path)
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
@@ -307,15 +377,15 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r = Reader(content.as_py())
             n = r.n_tokens()
             start = np.cumsum(n) - n
-            crc = [zlib.crc32(r.ids(k).astype("<u4").tobytes()) for k in range(len(n))]
-            yield pa.RecordBatch.from_arrays([pa.array([r.number] * len(n), pa.int32()), pa.array(r.doc_ids, pa.int64()), pa.array(start), pa.array(n), pa.array(crc, pa.int64())], names=["file", "doc_id", "start", "n_tokens", "ids_crc32"])
+            crc = [zlib.crc32(r.ids(k).astype("<u4")) for k in range(len(n))]
+            yield pa.RecordBatch.from_arrays([pa.array([r.number] * len(n), pa.int64()), pa.array(r.doc_ids, pa.int64()), pa.array(start), pa.array(n), pa.array(crc, pa.int64())], names=["file", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files: start counts all ids before it, in file order."""
-    rows = _read(spark, path).mapInArrow(_digests, "file int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = _read(spark, path).mapInArrow(_digests, "file long, doc_id long, start long, n_tokens long, ids_crc32 long")
     rows = common.cut(rows, "digests")
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # one row per file, of which there is one per write task
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # one row per file
     files = files.select(F.col("file").alias("f"), (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base"))
     return rows.join(F.broadcast(files), F.col("file") == F.col("f")).select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
