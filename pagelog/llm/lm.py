@@ -9,19 +9,20 @@ A document's score is the sum of the log probabilities of all its words.
 
 Training covers the whole corpus: every position of every document is a target in exactly one round. In each round every task
 runs Adagrad over its own rows from the shared parameters, and the tasks' parameters are averaged, weighted by positions. All
-positions of all documents are scored.
+positions of all documents are scored. Texts are split into words once; the words' classes are kept in a stored table, which
+all rounds and the scoring read. The parameters depend on the order of rows and on how they are dealt to tasks; scores of two
+runs on the same files with the same settings agree but for rounding.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +34,13 @@ CLASSES = GROUPS * GROUPS
 DIM, WINDOW = 16, 2
 ROUNDS, BATCH, RATE = 2, 4096, 0.2
 PAD = CLASSES
-#: Distinct words that a task counts before it hands them on.
-HELD = 200_000
+#: Bytes of text whose words are counted, and given classes, together.
+COUNTED, CODED = 1 << 24, 1 << 22
 _STEP = 1 << 12
 _SHAPES = {"e": (CLASSES + 1, DIM), "a": (2 * WINDOW, DIM), "b": (DIM,), "wg": (DIM, GROUPS), "bg": (GROUPS,), "wm": (GROUPS, DIM, GROUPS), "bm": (GROUPS, GROUPS)}
 _OFFSETS = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
+#: Logits below this need no shift before exp.
+_SAFE = 60.0
 
 
 def words(text: str | None) -> list[bytes]:
@@ -67,86 +70,149 @@ class Net:
     def pack(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in _SHAPES]).astype(np.float64)
 
-    def _hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        near = self.p["e"][context]  # (n, 2 * WINDOW, DIM)
-        return near, np.tanh(np.einsum("nod,od->nd", near, self.p["a"]) + self.p["b"])
+    def _hidden(self, context: np.ndarray) -> np.ndarray:
+        """(n, DIM + 1): the squashed sum of the scaled embeddings, and a one for the biases."""
+        p = self.p
+        z = np.empty((len(context), DIM + 1), p["e"].dtype)
+        z[:, :DIM] = p["b"]
+        for k in range(2 * WINDOW):
+            z[:, :DIM] += np.take(p["e"] * p["a"][k], context[:, k], axis=0)
+        np.tanh(z, out=z)
+        z[:, DIM] = 1
+        return z
+
+    def _layers(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights with their biases as a last row: (DIM + 1, GROUPS) of groups, (GROUPS, DIM + 1, GROUPS) of members."""
+        p = self.p
+        return np.concatenate([p["wg"], p["bg"][None]]), np.concatenate([p["wm"], p["bm"][:, None]], axis=1)
 
     @staticmethod
-    def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
-        return z[np.arange(len(z)), at] - np.log(np.exp(z).sum(axis=1))
+    def _exp(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """exp of logits, in place, up to a factor per row; ``w`` made them from numbers between -1 and 1."""
+        if np.abs(w).sum(axis=-2).max() >= _SAFE:
+            z -= z.max(axis=1, keepdims=True)
+        return np.exp(z, out=z)
 
     @staticmethod
-    def _softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return z
+    def _cuts(group: np.ndarray) -> list[tuple[int, int, int]]:
+        """(group, from, to) of targets that are sorted by group."""
+        at = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        return [(g, at[g], at[g + 1]) for g in range(GROUPS) if at[g] < at[g + 1]]
+
+    def _members(self, h: np.ndarray, wm: np.ndarray, cuts: list[tuple[int, int, int]]) -> np.ndarray:
+        z = np.empty((len(h), GROUPS), h.dtype)
+        for g, lo, hi in cuts:
+            np.matmul(h[lo:hi], wm[g], out=z[lo:hi])
+        return self._exp(z, wm)
 
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log probability of each target given its context (n, 2 * WINDOW)."""
-        p, (_, h) = self.p, self._hidden(context)
+        order = np.argsort(target, kind="stable")
+        h, target, (wg, wm), n = self._hidden(context[order]), target[order], self._layers(), np.arange(len(target))
         group, member = target // GROUPS, target % GROUPS
-        out = self._log_softmax_at(h @ p["wg"] + p["bg"], group).astype(np.float64)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
-            at = order[cuts[g] : cuts[g + 1]]
-            if len(at):
-                out[at] += self._log_softmax_at(h[at] @ p["wm"][g] + p["bm"][g], member[at])
+        out, tiny = np.empty(len(target)), np.finfo(h.dtype).tiny
+        zg = self._exp(h @ wg, wg)
+        zm = self._members(h, wm, self._cuts(group))
+        out[order] = np.log(np.maximum(zg[n, group], tiny)) - np.log(zg.sum(axis=1)) + np.log(np.maximum(zm[n, member], tiny)) - np.log(zm.sum(axis=1))
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, seen: dict[str, np.ndarray], rate: float) -> None:
         """One Adagrad step on the mean negative log probability."""
-        p, (near, h), n = self.p, self._hidden(context), len(target)
+        order = np.argsort(target, kind="stable")
+        context, target, n = context[order], target[order], len(target)
+        p, h, (wg, wm), rows = self.p, self._hidden(context), self._layers(), np.arange(n)
         group, member = target // GROUPS, target % GROUPS
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
-        d = self._softmax(h @ p["wg"] + p["bg"])
-        d[np.arange(n), group] -= 1
-        grad["wg"], grad["bg"] = h.T @ d, d.sum(axis=0)
+        cuts, grad = self._cuts(group), {}
+        d = self._exp(h @ wg, wg)
+        d /= d.sum(axis=1, keepdims=True)
+        d[rows, group] -= 1
+        got = h.T @ d
+        grad["wg"], grad["bg"] = got[:DIM], got[DIM]
         dh = d @ p["wg"].T
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
-            at = order[cuts[g] : cuts[g + 1]]
-            if len(at):
-                d = self._softmax(h[at] @ p["wm"][g] + p["bm"][g])
-                d[np.arange(len(at)), member[at]] -= 1
-                grad["wm"][g], grad["bm"][g] = h[at].T @ d, d.sum(axis=0)
-                dh[at] += d @ p["wm"][g].T
-        dz = dh * (1 - h * h)
-        grad["b"], grad["a"] = dz.sum(axis=0), np.einsum("nod,nd->od", near, dz)
+        d = self._members(h, wm, cuts)
+        d /= d.sum(axis=1, keepdims=True)
+        d[rows, member] -= 1
+        got = np.zeros_like(wm)
+        back = np.empty_like(dh)
+        for g, lo, hi in cuts:
+            np.matmul(h[lo:hi].T, d[lo:hi], out=got[g])
+            np.matmul(d[lo:hi], p["wm"][g].T, out=back[lo:hi])
+        grad["wm"], grad["bm"] = got[:, :DIM], got[:, DIM]
+        dh += back
+        dz = dh * (1 - h[:, :DIM] ** 2)
+        grad["b"] = dz.sum(axis=0)
+        grad["a"] = np.stack([np.einsum("nd,nd->d", np.take(p["e"], context[:, k], axis=0), dz) for k in range(2 * WINDOW)])
         flat = context.ravel()
         order = np.argsort(flat, kind="stable")
-        starts = np.flatnonzero(np.r_[True, flat[order[1:]] != flat[order[:-1]]])
-        each = (dz[:, None, :] * p["a"][None]).reshape(-1, DIM)
-        grad["e"][flat[order[starts]]] = np.add.reduceat(each[order], starts, axis=0)
+        flat = flat[order]
+        starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        row, side = np.divmod(order, 2 * WINDOW)
+        each = np.take(dz, row, axis=0)
+        each *= np.take(p["a"], side, axis=0)
+        grad["e"] = np.zeros_like(p["e"])
+        grad["e"][flat[starts]] = np.add.reduceat(each, starts, axis=0)
         for k, g in grad.items():
-            g = g / np.float32(n)
+            g = g / h.dtype.type(n)
             seen[k] += g * g
-            p[k] -= rate * g / (np.sqrt(seen[k]) + np.float32(1e-6))
+            p[k] -= rate * g / (np.sqrt(seen[k]) + h.dtype.type(1e-6))
+
+
+def split(texts: pa.Array) -> tuple[pa.BinaryArray, np.ndarray]:
+    """(words of all texts, one after the other; words per text), as `words` gives them, by whole arrays; null: none."""
+    texts = texts.cast(pa.binary()).fill_null(b"")
+    n = np.zeros(len(texts), np.int64)
+    if not len(texts) or texts.buffers()[2] is None:
+        return pa.array([], pa.binary()), n
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+    data = np.frombuffer(texts.buffers()[2], np.uint8, int(offsets[-1]))[offsets[0] :]
+    offsets = offsets - offsets[0]
+    solid = (data != 32) & (data - np.uint8(9) > 4)
+    edges = offsets[offsets < len(data)]  # where a text starts, what came before is no part of its first word
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    first[edges] = solid[edges]
+    last = solid.copy()
+    last[:-1] &= ~solid[1:]
+    edges = offsets[offsets > 0] - 1
+    last[edges] = solid[edges]
+    starts = np.flatnonzero(first)
+    ends = np.concatenate([[0], np.cumsum(np.flatnonzero(last) + 1 - starts)]).astype(np.int32)
+    low = data | ((data - np.uint8(65) < 26).view(np.uint8) << 5)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(low[solid])]), np.diff(np.searchsorted(starts, offsets))
+
+
+def _slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """The texts in turn, in runs of about ``most`` bytes."""
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    group = size // most
+    at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist() if len(texts) else []
+    for lo, hi in zip(at, [*at[1:], len(texts)]):
+        yield texts.slice(lo, hi - lo)
 
 
 class Classes:
     """Class of each word: its rank among the most frequent, or a hashed class."""
 
     def __init__(self, frequent: list[bytes]):
-        self.rank = {w: k for k, w in enumerate(frequent)}
+        self.frequent = pa.array(frequent, pa.binary())
 
-    def ids(self, parts: list[bytes]) -> list[int]:
-        own, rank = CLASSES - HASHED, self.rank.get
-        return [own + crc32(w) % HASHED if (k := rank(w)) is None else k for w in parts]
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.BinaryArray, np.ndarray]:
+        """(class of every word, words per text, distinct words, number of each word among these)."""
+        found, n = split(texts)
+        found = found.dictionary_encode()
+        rank = pc.index_in(found.dictionary, value_set=self.frequent)
+        other = rank.is_null().to_numpy(zero_copy_only=False)
+        ids = rank.fill_null(0).to_numpy().astype(np.int16)
+        ids[other] = [CLASSES - HASHED + crc32(w) % HASHED for w in found.dictionary.filter(pa.array(other)).to_pylist()]
+        at = found.indices.to_numpy()
+        return ids[at], n, found.dictionary, at
 
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(classes of all texts' words, each text with WINDOW pads before and after; words per text)."""
-        return self.of_words([words(t) for t in texts])
 
-    def of_words(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        n = np.array([len(x) for x in lists], np.int64)
-        ids = np.fromiter(chain.from_iterable(map(self.ids, lists)), np.int32, int(n.sum()))
-        out = np.full(len(ids) + 2 * WINDOW * len(lists), PAD, np.int32)
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(lists)) * 2 * WINDOW + WINDOW, n)] = ids
-        return out, n
+def pad(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Classes of texts of n words each, with WINDOW pads before and after each text."""
+    out = np.full(len(ids) + 2 * WINDOW * len(n), PAD, np.int16)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(n)) * 2 * WINDOW + WINDOW, n)] = ids
+    return out
 
 
 def context(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -154,20 +220,12 @@ def context(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
-
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-        held.clear()
-        return out
-
     for b in batches:
-        for t in b.column(0).to_pylist():
-            held.update(words(t))
-            if len(held) > HELD:
-                yield flush()
-    if held:
-        yield flush()
+        for texts in _slices(b.column(0), COUNTED):
+            found = split(texts)[0].dictionary_encode()
+            if len(found):
+                n = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
+                yield pa.RecordBatch.from_arrays([found.dictionary, pa.array(n, pa.int64())], names=["word", "n"])
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -176,6 +234,50 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+_CODED = "doc_id long, ids binary, others array<struct<word: binary, times: bigint>>"
+
+
+def _coded(frequent: list[bytes], spell: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(frequent)
+        for b in batches:
+            done = 0
+            for texts in _slices(b.column(1), CODED):
+                ids, n, distinct, at = classes.of(texts)
+                ends = (2 * np.concatenate([[0], np.cumsum(n)])).astype(np.int32)
+                codes = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+                others = _spelled(ids, n, distinct, at) if spell else pa.nulls(len(n), pa.list_(pa.struct({"word": pa.binary(), "times": pa.int64()})))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(n)), codes, others], names=["doc_id", "ids", "others"])
+                done += len(n)
+
+    return run
+
+
+def _spelled(ids: np.ndarray, n: np.ndarray, distinct: pa.BinaryArray, at: np.ndarray) -> pa.Array:
+    """For each text, (word, times) of its words that have no class of their own."""
+    rest = ids >= CLASSES - HASHED
+    doc = np.repeat(np.arange(len(n)), n)[rest]
+    pairs, times = np.unique(doc * max(len(distinct), 1) + at[rest], return_counts=True)
+    doc, word = np.divmod(pairs, max(len(distinct), 1))
+    each = pa.StructArray.from_arrays([distinct.take(pa.array(word)), pa.array(times, pa.int64())], names=["word", "times"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(n) + 1)), pa.int32()), each)
+
+
+def coded(docs: DataFrame, frequent: list[bytes], id_col: str = "doc_id", text_col: str = "text", spell: bool = True) -> DataFrame:
+    """(doc_id, ids, others) of every row: its words' classes as 2-byte numbers, and if ``spell``, how often each word occurs
+    that has no class of its own. Store it before reading it more than once."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return narrow.mapInArrow(_coded(frequent, spell), _CODED)
+
+
+def _lengths(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all classes end to end, words per row) of a column of `coded` ids."""
+    ends = np.frombuffer(codes.buffers()[1], np.int32, len(codes) + 1, 4 * codes.offset)
+    data = codes.buffers()[2]
+    ids = np.frombuffer(data, np.uint8, int(ends[-1]))[ends[0] :].view(np.int16) if data is not None else np.zeros(0, np.int16)
+    return ids, np.diff(ends) // 2
+
+
 def targets(padded: np.ndarray, n: np.ndarray, part: int, parts: int) -> np.ndarray:
     """Where the words of the given part stand: every word of every text is in exactly one part, by its place in the text."""
     place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -184,14 +286,13 @@ def targets(padded: np.ndarray, n: np.ndarray, part: int, parts: int) -> np.ndar
 
 def _trained(shared, part: int, parts: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, frequent = shared.value
-        net, classes, trained = Net.unpack(flat), Classes(frequent), 0
+        net, trained = Net.unpack(shared.value), 0
         seen = {k: np.full_like(v, 1e-4) for k, v in net.p.items()}
-        x, y = np.zeros((0, 2 * WINDOW), np.int32), np.zeros(0, np.int32)
+        x, y = np.zeros((0, 2 * WINDOW), np.int16), np.zeros(0, np.int16)
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo in range(0, len(texts), 256):
-                padded, n = classes.of(texts[lo : lo + 256])
+            for codes in _slices(b.column(0), CODED):
+                ids, n = _lengths(codes)
+                padded = pad(ids, n)
                 at = targets(padded, n, part, parts)
                 x, y = np.concatenate([x, context(padded, at)]), np.concatenate([y, padded[at]])
                 full = len(y) - len(y) % BATCH
@@ -222,20 +323,33 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SUMS = 16
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[Net, list[bytes]]:
-    """(network, most frequent words), from all rows of ``docs``; ``counts`` are their word_counts, if at hand."""
-    sc = docs.sparkSession.sparkContext
-    top = (word_counts(docs, text_col) if counts is None else counts).orderBy(F.desc("n"), "word").limit(CLASSES - HASHED).collect()
-    frequent = [bytes(r.word) for r in top]
-    net = Net.new()
-    narrow = docs.select(F.col(text_col).cast("string").alias("text"))
+def most_frequent(counts: DataFrame) -> list[bytes]:
+    """The words that get classes of their own, by count, ties by their bytes."""
+    return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(CLASSES - HASHED).collect()]
+
+
+def fit(rows: DataFrame, rounds: int = ROUNDS) -> Net:
+    """The network trained on a stored table of `coded` ids."""
+    sc, net, narrow = rows.sparkSession.sparkContext, Net.new(), rows.select("ids")
     for k in range(rounds):
-        shared = sc.broadcast((net.pack(), frequent))  # a fixed size, whatever the input
+        shared = sc.broadcast(net.pack())  # a fixed size, whatever the input
         parts = narrow.mapInArrow(_trained(shared, k, rounds, RATE), "sums binary, n long")
         got = parts.repartition(SUMS).mapInArrow(_summed, "sums binary, n long").collect()
         n = sum(r.n for r in got)
         if n:
             net = Net.unpack(sum(np.frombuffer(bytes(r.sums), np.float64) for r in got) / n)
+    return net
+
+
+def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[Net, list[bytes]]:
+    """(network, most frequent words), from all rows of ``docs``; ``counts`` are their word_counts, if at hand.
+
+    A null text has no words; without any word the network stays as it was drawn.
+    """
+    frequent = most_frequent(word_counts(docs, text_col) if counts is None else counts)
+    rows, path = common.table(coded(docs.withColumn("__none", F.lit(None).cast("long")), frequent, "__none", text_col, False), "coded")
+    net = fit(rows, rounds)
+    common.drop(docs.sparkSession, path)
     return net, frequent
 
 
@@ -247,43 +361,30 @@ def shares(counts: DataFrame, frequent: list[bytes]) -> DataFrame:
     return others.join(totals, "bucket").select("word", F.ln(F.col("n") / F.col("total")).alias("share"))
 
 
-def _spelled(classes: Classes, lists: list[list[bytes]]) -> pa.Array:
-    """For each text, (word, times) of its words that have no class of their own."""
-    found, at = [], [0]
-    for parts in lists:
-        found += Counter([w for w in parts if w not in classes.rank]).items()
-        at.append(len(found))
-    each = pa.StructArray.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([k for _, k in found], pa.int64())], names=["word", "times"])
-    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), each)
-
-
-def _scored(shared, spell: bool):
+def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, frequent = shared.value
-        net, classes = Net.unpack(flat), Classes(frequent)
+        net = Net.unpack(shared.value)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            total, count, spelled = [], [], []
-            for lo in range(0, len(texts), 128):
-                lists = [words(t) for t in texts[lo : lo + 128]]
-                padded, n = classes.of_words(lists)
+            done = 0
+            for codes in _slices(b.column(2), CODED):
+                ids, n = _lengths(codes)
+                padded = pad(ids, n)
                 at = np.flatnonzero(padded != PAD)
                 logs = [net.log_prob(context(padded, a), padded[a]) for a in (at[i : i + _STEP] for i in range(0, len(at), _STEP))]
-                sums = np.bincount(np.repeat(np.arange(len(n)), n), np.concatenate(logs) if logs else None, len(n))
-                total += sums.tolist()
-                count += n.tolist()
-                if spell:
-                    spelled.append(_spelled(classes, lists))
-            mean = [t / c if c else 0.0 for t, c in zip(total, count)]
-            out = {"doc_id": b.column(0), "n_words": pa.array(count, pa.int64()), "log_prob": pa.array(total, pa.float64()), "mean_log_prob": pa.array(mean, pa.float64())}
-            if spell and texts:
-                out["others"] = pa.concat_arrays(spelled)
-            if texts:
-                yield pa.RecordBatch.from_pydict(out)
+                sums = np.bincount(np.repeat(np.arange(len(n)), n), np.concatenate(logs) if logs else None, len(n)).astype(np.float64)
+                mean = np.divide(sums, n, out=np.zeros(len(n)), where=n > 0)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(n)), b.column(1).slice(done, len(n)), pa.array(n, pa.int64()), pa.array(sums), pa.array(mean)], names=["rid", "doc_id", "n_words", "log_prob", "mean_log_prob"])
+                done += len(n)
 
     return run
 
 
+def score_coded(rows: DataFrame, net: Net) -> DataFrame:
+    """(rid, doc_id, n_words, log_prob, mean_log_prob) from (rid, doc_id, ids): a word's probability is that of its class."""
+    shared = rows.sparkSession.sparkContext.broadcast(net.pack())
+    return rows.select("rid", "doc_id", "ids").mapInArrow(_scored(shared), "rid long, doc_id long, n_words long, log_prob double, mean_log_prob double")
+
+
 def score(docs: DataFrame, net: Net, frequent: list[bytes], id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_words, log_prob, mean_log_prob) of every row.
 
@@ -292,14 +393,23 @@ def score(docs: DataFrame, net: Net, frequent: list[bytes], id_col: str = "doc_i
     A null or wordless text has 0 words and scores 0. Repeated rows each get their row; a null doc_id stays null; an empty
     table gives an empty result (and trains nothing); other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((net.pack(), frequent))
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, n_words long, log_prob double, mean_log_prob double"
+    rows = coded(docs, frequent, id_col, text_col, counts is not None).withColumn("rid", F.monotonically_increasing_id())
     if counts is None:
-        return narrow.mapInArrow(_scored(shared, False), schema)
-    rows = narrow.mapInArrow(_scored(shared, True), schema + ", others array<struct<word: binary, times: bigint>>")
-    rows = common.cut(rows.withColumn("rid", F.monotonically_increasing_id()), "scored")  # stored, so that a row has one rid
+        return score_coded(rows, net).drop("rid")
+    return _whole(common.cut(rows, "coded"), net, frequent, counts)
+
+
+def _whole(rows: DataFrame, net: Net, frequent: list[bytes], counts: DataFrame) -> DataFrame:
+    """Scores of a stored table of `coded` rows (with rid), each word by its own probability."""
     within = rows.select("rid", F.inline("others")).join(shares(counts, frequent), "word").groupBy("rid").agg(F.sum(F.col("times") * F.col("share")).alias("within"))
     log_prob = F.col("log_prob") + F.coalesce("within", F.lit(0.0))
-    out = rows.drop("others").join(within, "rid", "left")
+    out = score_coded(rows, net).join(within, "rid", "left")
     return out.select("doc_id", "n_words", log_prob.alias("log_prob"), F.when(F.col("n_words") > 0, log_prob / F.col("n_words")).otherwise(0.0).alias("mean_log_prob"))
+
+
+def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`score` of every row by a network trained on all rows; texts are counted once and split into classes once."""
+    counts = common.cut(word_counts(docs, text_col), "counts")
+    frequent = most_frequent(counts)
+    rows = common.cut(coded(docs, frequent, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "coded")
+    return _whole(rows, fit(rows), frequent, counts)

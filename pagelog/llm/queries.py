@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelog.llm import common, counts, exact, html, lm, mixing, pieces, quality, simhash, tokenfile, toxicity
+from pagelog.llm import counts, exact, html, lm, mixing, pieces, quality, simhash, tokenfile, toxicity
 from pagelog.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -47,9 +47,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    found = common.cut(lm.word_counts(docs), "counts")
-    return lm.score(docs, *lm.train(docs, counts=found), counts=found)
+    return lm.train_and_score(_read(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
