@@ -5,8 +5,11 @@ positive, content if negative. These are the capacities to the two terminals. Sm
 and blocks that follow one another in the same parent, with capacities that fall with their distance in the DOM. The maximum
 flow's cut separates content from boilerplate at the least total cost.
 
-The classifier is logistic in features of a block's text, trained here on pages whose semantic elements tell content and
-boilerplate apart; the elements themselves add fixed costs.
+The classifier is logistic in features of a block: its text, its place, and what the elements and names around it tell, each
+with a weight of its own. The weights start from a prior and are fitted on pages without labels, in turns: a minimum cut
+labels the blocks, and the weights are fitted to these labels, drawn towards the prior. Costs are bounded and of the size of
+the smoothness edges, so neither a name nor an element decides a block alone: long unlinked text and its neighbours can
+outweigh them.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import math
 import re
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 
 #: Pages of the lowest hashes of page_id that the classifier is trained on at most. All pages are extracted.
 TRAINING_PAGES = 400
-#: Cost of going against a semantic element or a telling name, and the bound on what text features cost.
-SEMANTIC, TEXT = 8.0, 3.0
+#: The bound on what the classifier costs a block.
+COST = 4.0
 #: Capacity between adjacent blocks of one parent, and how much of it is left per step in the DOM.
 SMOOTH, FADE = 1.5, 0.4
 
@@ -38,9 +41,9 @@ _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?…]")
 
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template textarea title svg math iframe object embed canvas audio video select option datalist head".split())
+RAW = frozenset("script style noscript template textarea title svg annotation iframe object embed canvas audio video select option datalist head".split())
 #: Of these, the ones whose content is not markup, so that only their own end tag ends them.
-LITERAL = frozenset("script style textarea title noscript iframe template svg math".split())
+LITERAL = frozenset("script style textarea title noscript iframe template svg annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -50,6 +53,7 @@ BLOCK = frozenset(
 INLINE = frozenset("b i em strong span u s small font code sup sub q cite mark abbr time".split())
 #: Elements that need no end tag.
 IMPLIED = frozenset("p li dt dd option tr td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TELLS = re.compile(r"\b(?:class|id|role|hidden|style)\b", re.I)
 BOILERPLATE = frozenset("nav footer aside form menu dialog button fieldset search".split())
 CONTENT = frozenset("article main".split())
@@ -58,14 +62,29 @@ BAD_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos promotion banner banners cookie cookies "
     "consent gdpr notice notices alert popup modal overlay nav navbar navigation navigator menu menus breadcrumb breadcrumbs pagination pager "
     "sidebar sidebars side rail widget widgets footer foot header masthead topbar toolbar share sharing social related recommended "
-    "recommendations comment comments commentlist disqus replies reply respond respondents subscribe subscription newsletter signup login "
+    "recommendations comment comments commentlist discussion feedback disqus replies reply respond respondents responses subscribe subscription newsletter signup login "
     "search searchform copyright legal disclaimer skip tags".split()
 )
 GOOD_NAMES = frozenset("article content post entry story articlebody body main text".split())
 #: What follows these in a name tells the layout ("has-sidebar"), not what the element holds.
 MODIFIERS = frozenset("has no with without".split())
-#: Words without links from which on a telling name costs a block nothing, on pages that mark no content.
-PLAIN = 40
+#: The classifier's features, and the weights from which fitting starts and towards which it is drawn.
+FEATURES = {
+    "one": -3.0,
+    "length": 0.7,  # log of the characters
+    "linked": -4.0,  # part of the characters that are links
+    "punctuation": 2.0,  # marks per word
+    "word_length": 0.0,
+    "long": 1.0,  # 12 words or more
+    "boilerplate": -4.0,  # within an element or role such as nav
+    "named": -2.0,  # within an element whose name tells boilerplate, no content within
+    "content": 3.0,  # within an element or role that marks content, or of such a name
+    "outside": -2.5,  # not so, on a page that marks content elsewhere
+    "heading": 0.5,
+    "late": 0.0,  # place on the page, from 0 to 1
+}
+#: How many times the blocks are labelled and the weights fitted, and how strongly the prior holds.
+TURNS, PRIOR = 3, 0.02
 
 
 @dataclass
@@ -85,18 +104,18 @@ class Block:
     text: str
     element: Element
     linked: int  # characters within links
-    bad: bool = field(init=False)
-    named: bool = field(init=False)  # bad by name only
-    good: bool = field(init=False)
 
-    def __post_init__(self):
+    @property
+    def content(self) -> bool:
         e = self.element
-        self.bad, self.named, self.good = e.bad or e.named, e.named and not e.bad, e.good
+        return e.good and not e.bad and not e.named
 
-    def features(self) -> list[float]:
-        t, n = self.text, len(self.text)
+    def features(self, marked: bool, place: float) -> list[float]:
+        """FEATURES in turn; ``marked``: some block of the page is content by its elements."""
+        t, n, e = self.text, len(self.text), self.element
         words = t.count(" ") + 1
-        return [1.0, math.log(n + 1), self.linked / max(n, 1), min(len(_PUNCT.findall(t)) / words, 1.0), min(n / words, 12.0) / 12, float(words >= 12)]
+        text = [1.0, math.log(n + 1), self.linked / max(n, 1), min(len(_PUNCT.findall(t)) / words, 1.0), min(n / words, 12.0) / 12, float(words >= 12)]
+        return [*text, float(e.bad), float(e.named), float(self.content), float(marked and not self.content), float(e.tag in HEADINGS), place]
 
 
 def _named(values: list[str], inside: bool) -> tuple[bool, bool]:
@@ -142,6 +161,10 @@ def _element(tag: str, attrs: str, parent: Element | None) -> Element:
     if parent is not None:
         # content resets a name around it, but an article none within other content: comments can be articles, too
         kept = parent.named and (named or not (sole or (marked and not inside)))
+        e = parent if tag == "article" else None
+        while e is not None and e.tag != "article":
+            e = e.parent
+        kept = kept or e is not None  # an article's own articles are its comments
         bad, named, good, hidden = bad or parent.bad, kept or (named and not free), good or parent.good, hidden or parent.hidden
     return Element(tag, parent, parent.depth + 1 if parent else 0, bad, named, good, hidden)
 
@@ -317,50 +340,49 @@ def min_cut(score: list[float], joins: list[tuple[int, int, float]]) -> list[boo
                     cap[e ^ 1] += push
 
 
-#: Weights that hold where no page tells content and boilerplate apart: longer, less linked, more punctuated is content.
-UNTRAINED = (-3.0, 0.7, -4.0, 2.0, 0.0, 1.0)
+UNTRAINED = tuple(FEATURES.values())
 
 
-def scores(page: list[Block], weights: tuple[float, ...]) -> list[float]:
-    out, marked = [], any(b.good and not b.bad for b in page)
-    for b in page:
-        s = sum(map(float.__mul__, weights, b.features()))
-        s = max(-TEXT, min(TEXT, s))
-        if b.named and not marked:  # a name alone yields to long text where nothing else is content
-            s -= SEMANTIC * max(0.0, 1 - (b.text.count(" ") + 1) * (1 - b.linked / len(b.text)) / PLAIN)
-        else:
-            s += -SEMANTIC if b.bad else SEMANTIC if b.good else 0
-        out.append(s)
-    return out
+def matrix(page: list[Block]) -> np.ndarray:
+    marked = any(b.content for b in page)
+    return np.array([b.features(marked, k / len(page)) for k, b in enumerate(page)])
+
+
+def scores(x: np.ndarray, weights: tuple[float, ...]) -> list[float]:
+    return np.clip(x @ np.array(weights), -COST, COST).tolist()
+
+
+def label(page: list[Block], weights: tuple[float, ...], x: np.ndarray | None = None) -> list[bool]:
+    """Whether each block is content."""
+    return min_cut(scores(matrix(page) if x is None else x, weights), edges(page))
 
 
 def extract(html: str, weights: tuple[float, ...] = UNTRAINED) -> str:
     page = blocks(html)
-    if not page:
-        return ""
-    keep = min_cut(scores(page, weights), edges(page))
-    return "\n".join(b.text for b, k in zip(page, keep) if k)
-
-
-def fit(htmls: list[str], rounds: int = 200) -> tuple[float, ...]:
-    """Logistic regression, ridge-penalised, on blocks that semantic elements label; UNTRAINED if they show one class only."""
-    rows, y = [], []
-    for h in htmls:
-        for b in blocks(h):
-            if b.bad or b.good:
-                rows.append(b.features())
-                y.append(0.0 if b.bad else 1.0)
-    if not rows or min(y) == max(y):
-        return UNTRAINED
-    x, t = np.array(rows), np.array(y)
-    share = np.where(t > 0, 0.5 / t.sum(), 0.5 / (len(t) - t.sum()))  # both classes weigh the same
-    w = np.array(UNTRAINED)
+    return "\n".join(b.text for b, k in zip(page, label(page, weights)) if k) if page else ""
+
+
+def fit(htmls: list[str], turns: int = TURNS) -> tuple[float, ...]:
+    """Weights from unlabelled pages; UNTRAINED if there are none, or if all their blocks look alike."""
+    pages = [(page, matrix(page)) for page in map(blocks, htmls) if page]
+    weights = UNTRAINED
+    for _ in range(turns if pages else 0):
+        y = np.array([k for page, x in pages for k in label(page, weights, x)], float)
+        if y.min() == y.max():
+            return UNTRAINED
+        weights = _logistic(np.concatenate([x for _, x in pages]), y, np.array(weights))
+    return weights
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 100) -> tuple[float, ...]:
+    """Logistic regression by Newton's method, both classes of the same weight, with a ridge around UNTRAINED."""
+    share, prior = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())), np.array(UNTRAINED)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (share * (p - t)) + 1e-3 * w
-        curve = x.T @ (x * (share * p * (1 - p))[:, None]) + 1e-3 * np.eye(len(w))
+        gradient = x.T @ (share * (p - y)) + PRIOR * (w - prior)
+        curve = x.T @ (x * (share * p * (1 - p))[:, None]) + PRIOR * np.eye(len(w))
         step = np.linalg.solve(curve, gradient)
-        w -= step
+        w = w - step
         if np.abs(step).max() < 1e-9:
             break
     return tuple(float(v) for v in w)
