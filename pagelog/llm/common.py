@@ -47,9 +47,21 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return table(df, tag)[0]
 
 
-def with_rids(docs: DataFrame, name: str = "__rid") -> DataFrame:
-    """``docs`` and a number for each row, stored: the numbers are the same in every later scan, however files are split."""
-    return cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_rids(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and a number for each row, stored: the numbers are the same in every later scan, however files are split.
+
+    Returns the stored table and the name of the added column, which none of ``docs`` has.
+    """
+    name = fresh(docs, "__rid")
+    return cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
 def drop(spark: SparkSession, path: str) -> None:

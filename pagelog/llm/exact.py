@@ -111,7 +111,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    docs = common.with_rids(docs)
-    kept = exact_groups(docs, id_col, text_col, block, F.col("__rid")).where("kept").select(F.col("rid").alias("__kept"))
-    return docs.join(kept, F.col("__rid") == F.col("__kept"), "left_semi").drop("__rid")
+    """The rows of ``docs`` that stay, with all their columns; odd rows as in `exact_groups`."""
+    docs, rid = common.with_rids(docs)
+    key = common.fresh(docs, "__kept")
+    kept = exact_groups(docs, id_col, text_col, block, F.col(rid)).where("kept").select(F.col("rid").alias(key))
+    return docs.join(kept, F.col(rid) == F.col(key), "left_semi").drop(rid)

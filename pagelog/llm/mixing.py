@@ -1,9 +1,13 @@
 """Mixing sources to target weights, DataFrame operations only.
 
 Words per source are aggregated; weights share out all words, a source stopping at CAP times its own. A source's rate is
-its target over its size. Each document is emitted floor(rate) times, plus once more with the fraction as probability,
-drawn from a hash of its doc_id. The draw of each source is rotated by one of SHIFTS steps, the one whose sum comes nearest to
-the target, so that small sources come near theirs too; every rotation is itself a fair draw.
+its target over its size. Each document is emitted floor(rate) times, plus once more with the fraction as probability.
+
+The extra copies of a source are one systematic draw, seeded by a hash of the source: its documents, in the order of size and
+of a hash of their ids, are numbered from 0, and number r gets a copy if a whole number lies in (u + r * fraction,
+u + (r + 1) * fraction], with u uniform in [0, 1). For each document that is a Bernoulli copy with the fraction as probability;
+over a source the number of copies is within one of what is wanted, and so are the words but for the size of one document.
+Numbers are found by a range sort, in which a source of any size spreads over tasks; no source is gathered.
 """
 
 from __future__ import annotations
@@ -16,7 +20,6 @@ from pagelog.llm import common
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-SHIFTS = 64
 SEED = "mix"
 
 
@@ -26,9 +29,9 @@ def size(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(c.cast("string"), F.lit(common.WORD)), F.lit(0)).cast("long")
 
 
-def _draw(doc_id: Column) -> Column:
-    """Uniform in [0, 1), the same for a doc_id on every run."""
-    key = F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def _draw(value: Column, seed: str = SEED) -> Column:
+    """Uniform in [0, 1), the same for a value on every run."""
+    key = F.concat(F.lit(seed + ":"), F.coalesce(value.cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
@@ -63,48 +66,45 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def _rated(rows: DataFrame, factors: DataFrame) -> DataFrame:
-    """``rows`` (__source, __id) with the columns of ``factors``, plus __whole, __fraction and __draw."""
-    f = factors.withColumnRenamed("source", "__s")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    out = rows.join(f, F.col("__source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("__rate", rate)
-    return out.withColumn("__whole", F.floor("__rate")).withColumn("__fraction", F.col("__rate") - F.floor("__rate")).withColumn("__draw", _draw(F.col("__id")))
-
+def extra(u: Column, rank: Column, fraction: Column) -> Column:
+    """Whether the document numbered ``rank`` of its source gets one more copy."""
+    return (F.floor(u + (rank + 1) * fraction) > F.floor(u + rank * fraction)).cast("long")
 
-def _taken(shift: Column) -> Column:
-    """Copies under a rotation of the draw."""
-    u = F.col("__draw") + shift / F.lit(float(SHIFTS))
-    return F.col("__whole") + F.when(F.when(u >= 1, u - 1).otherwise(u) < F.col("__fraction"), 1).otherwise(0)
 
-
-def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
-    """(sized, factors): rows (__id, __source, size) of every document; (source, source_size, target, shift) of every source."""
-    sized = common.cut(docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("__source"), size(text_col).alias("size")), "sized")
-    goal = common.cut(targets(sized.withColumnRenamed("__source", "source"), weights, cap), "targets")
-    sums = [F.sum(F.col("size") * _taken(F.lit(float(k)))).alias(f"s{k}") for k in range(SHIFTS)]
-    got = _rated(sized, goal).groupBy("__source", "source_size", "target").agg(*sums)
-    miss = F.array(*[F.abs(F.col(f"s{k}") - F.col("target")) for k in range(SHIFTS)])
-    got = got.withColumn("miss", miss).withColumn("shift", (F.array_position("miss", F.array_min("miss")) - 1).cast("int"))
-    return sized, common.cut(got.select(F.col("__source").alias("source"), "source_size", "target", "shift"), "factors")
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], cap: int, seed: str, rid: str | None = None) -> DataFrame:
+    """(rid, doc_id, size, source_size, target, copies) for every row; rid is null if no column is named."""
+    rid_col = F.lit(None).cast("long") if rid is None else F.col(rid)
+    sized = common.cut(docs.select(rid_col.alias("rid"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size(text_col).alias("size")), "sized")
+    goal = targets(sized, weights, cap).withColumnRenamed("source", "of")
+    order = [F.col("source").asc_nulls_last(), "size", _draw(F.col("doc_id"), seed), "doc_id"]
+    rows = common.cut(sized.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), "ordered").withColumn("part", F.shiftright("at", 33))
+    # A source lies in neighbouring parts of the sorted table: one row here for each source in each part.
+    held = rows.groupBy("part", "source").agg(F.count("*").alias("c"), F.min("at").alias("first"))
+    held = held.withColumn("before", F.sum("c").over(Window.partitionBy("source").orderBy("part")) - F.col("c"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    held = held.join(goal, F.col("source").eqNullSafe(F.col("of"))).select(F.col("part").alias("p"), "of", "first", "before", "source_size", "target", rate.alias("rate"), _draw(F.col("of"), seed).alias("u"))
+    out = rows.join(held, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("of")))
+    rank = F.col("before") + F.col("at") - F.col("first")
+    copies = F.floor("rate") + extra(F.col("u"), rank, F.col("rate") - F.floor("rate"))
+    return out.select("rid", "doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) for every row of ``docs``.
 
-    A null text has size 0; a null source is a source of its own, the last. Sources without words have target 0. Rows that
-    share a doc_id share their draw. An empty table gives an empty result; other columns are ignored.
+    A null text has size 0; a null source is a source of its own, the last. Sources without words have target 0. Of rows that
+    share doc_id, source and size, any may get the extra copies that fall to them. An empty table gives an empty result; other
+    columns are ignored.
     """
-    sized, f = factors(docs, id_col, text_col, source_col)
-    out = _rated(sized, f).withColumn("copies", _taken(F.col("shift").cast("double")).cast("long"))
-    return out.select(F.col("__id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    out = _planned(docs, id_col, text_col, source_col, WEIGHTS, CAP, seed)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """The mixed rows: every row of ``docs``, all columns kept, as often as its copies say (not at all for none)."""
-    _, f = factors(docs, id_col, text_col, source_col)
-    f = f.select("source", *[F.col(c).alias(f"__{c}") for c in ("source_size", "target", "shift")])
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
-    rows = docs.select("*", F.col(source_col).cast("string").alias("__source")).join(f.withColumnRenamed("source", "__s"), F.col("__source").eqNullSafe(F.col("__s")))
-    rows = rows.withColumn("__rate", rate).withColumn("__whole", F.floor("__rate")).withColumn("__fraction", F.col("__rate") - F.floor("__rate")).withColumn("__draw", _draw(F.col(id_col)))
-    rows = rows.withColumn("__copies", _taken(F.col("__shift").cast("double")).cast("int")).where("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    rows, rid = common.with_rids(docs)
+    taken = _planned(rows, id_col, text_col, source_col, WEIGHTS, CAP, seed, rid).where("copies > 0")
+    key, times = common.fresh(rows, "__taken"), common.fresh(rows, "__copies")
+    taken = taken.select(F.col("rid").alias(key), F.sequence(F.lit(1).cast("long"), F.col("copies")).alias(times))
+    out = rows.join(taken, F.col(rid) == F.col(key)).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(times).alias(times))
+    return out.drop(times)

@@ -18,17 +18,16 @@ lv AS (
   FROM lv WHERE stopped <> (SELECT count(*) FROM w WHERE 3 * s < weight * level)
 ), last AS (SELECT level FROM lv ORDER BY step DESC LIMIT 1),
 goal AS (SELECT source, s AS source_size, least(3 * s, weight * (SELECT level FROM last)) AS target FROM w),
+drawn AS (
+  SELECT *, CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS v,
+         CAST(CAST('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+  FROM sized
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, v, doc_id) - 1 AS r FROM drawn),
 rated AS (
-  SELECT d.doc_id, d.source, d.size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
-  FROM sized d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source
-), drawn AS (
-  SELECT r.*, k, floor(rate) + CASE WHEN (CASE WHEN u + k / 64.0 >= 1 THEN u + k / 64.0 - 1 ELSE u + k / 64.0 END) < rate - floor(rate) THEN 1 ELSE 0 END AS copies
-  FROM rated r, (SELECT CAST(range AS DOUBLE) AS k FROM range(64))
-), sums AS (SELECT source, k, abs(sum(size * copies) - any_value(target)) AS miss FROM drawn GROUP BY source, k),
-best AS (SELECT source, k FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY miss, k) AS n FROM sums) WHERE n = 1)
-SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(size * copies AS BIGINT) AS taken
-FROM drawn d JOIN best b ON d.source IS NOT DISTINCT FROM b.source AND d.k = b.k
+  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
+  FROM ranked d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source
+), counted AS (SELECT *, floor(rate) + CASE WHEN floor(u + (r + 1) * (rate - floor(rate))) > floor(u + r * (rate - floor(rate))) THEN 1 ELSE 0 END AS copies FROM rated)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(size * copies AS BIGINT) AS taken FROM counted
 """
 
 _QUALITY = r"""

@@ -188,8 +188,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of each group, all columns kept: that of the smallest doc_id, null last; one of them if rows share it."""
-    docs = common.with_rids(docs)
-    fps, named = _grouped(docs, id_col, text_col, radius, SHINGLE, F.col("__rid"))
+    docs, rid = common.with_rids(docs)
+    key = common.fresh(docs, "__kept")
+    fps, named = _grouped(docs, id_col, text_col, radius, SHINGLE, F.col(rid))
     first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
-    kept = first.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("__kept"))
-    return docs.join(kept, F.col("__rid") == F.col("__kept"), "left_semi").drop("__rid")
+    kept = first.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.rid").alias(key))
+    return docs.join(kept, F.col(rid) == F.col(key), "left_semi").drop(rid)
