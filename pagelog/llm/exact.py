@@ -3,8 +3,10 @@
 Normalised texts are cut into fixed-size blocks. Level 0 sorts the blocks into integer names; each further level names
 adjacent pairs of names, until every document has one name. Names are ranks of whole contents, so equal names mean equal
 texts: no hash decides equality. Blocks are sorted within many buckets of their content, so that one shuffle names them.
-Blocks that many rows share are found first by a pre-aggregated count, named once, and joined in by broadcast: their rows
-are then spread evenly and carry no text through the shuffle.
+Blocks that many rows share are found first by a pre-aggregated count and named once; where a hash has only one content, the
+hash tells the name by broadcast, so these rows carry no text through the shuffle and are spread evenly. Pairs and groups that
+many rows share meet their names in the same way. COMMON bounds each of these broadcasts, narrow rows all; every other key
+has 1/COMMON of all rows at most, or fewer than LEAST.
 """
 
 from __future__ import annotations
@@ -16,10 +18,8 @@ from pyspark.sql.window import Window
 from pagelog.llm import common
 
 BLOCK = 8192
-#: A block is common if it makes up at least this part of all blocks: there are at most so many of them.
-COMMON = 512
-#: Blocks seen fewer times than this are never looked at as common.
-LEAST = 256
+#: Keys that are joined by broadcast at most, and the rows that a key must have to be one of them.
+COMMON, LEAST = 500_000, 256
 _BUCKETS, _RANKS = 1 << 20, 1 << 43
 
 
@@ -38,27 +38,38 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block: int, rid: Column
     return base.select("rid", "doc_id", "n", F.when(F.lit(True), F.sha2("bin", 256)).alias("sha"), F.posexplode(cut).alias("pos", "block")).withColumn("h", F.xxhash64("block"))
 
 
-def _common(blocks: DataFrame) -> list[int]:
-    """Hashes of the blocks that make up 1/COMMON of all or more: at most COMMON of them."""
+def _bar(total: int | None) -> float:
+    """Rows from which on a key is common: at most COMMON keys have so many."""
+    return max(LEAST, (total or 0) / COMMON)
+
+
+def _meet(rows: DataFrame, named: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored ``rows`` joined with the row of their keys in the stored table ``named``, which counts them as c."""
+    often = F.col("c") >= _bar(named.agg(F.sum("c")).first()[0])
+    hot = F.broadcast(named.where(often).drop("c"))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(named.where(~often).drop("c"), keys))
+
+
+def _common(blocks: DataFrame) -> DataFrame:
+    """(kh, known): the names of common blocks by their hashes, of those hashes that stand for one content only."""
     total = Observation()
     counts = blocks.groupBy("h").agg(F.count("*").alias("c")).observe(total, F.sum("c").alias("n")).where(F.col("c") >= LEAST)
     counts, path = common.table(counts, "common")
-    out = [r.h for r in counts.where(F.col("c") >= (total.get["n"] or 0) / COMMON).select("h").collect()]
+    often = counts.where(F.col("c") >= _bar(total.get["n"])).select("h")
+    if often.isEmpty():
+        known = often
+    else:
+        contents = blocks.join(F.broadcast(often), "h", "left_semi").select("h", "block").distinct()
+        known = contents.groupBy("h").agg(F.count("*").alias("k")).where("k = 1")
+    known = known.withColumn("bucket", F.pmod("h", F.lit(_BUCKETS))).select(F.col("h").alias("kh"), (-_named("bucket", "h")).alias("known"))
+    known = common.cut(known, "known")
     common.drop(blocks.sparkSession, path)
-    return out
+    return known
 
 
 def _level0(docs: DataFrame, id_col: str, text_col: str, block: int, rid: Column) -> DataFrame:
     blocks = _blocks(docs, id_col, text_col, block, rid)
-    often = _common(blocks.select("h"))
-    if often:
-        # Their distinct contents: at most COMMON blocks, unless different blocks share a hash.
-        known = common.cut(blocks.where(F.col("h").isin(often)).select("h", "block").distinct(), "known")
-        known = known.select(F.col("h").alias("kh"), F.col("block").alias("kb"), (-F.row_number().over(Window.orderBy("h", "block"))).cast("long").alias("known"))
-        known = F.broadcast(known) if known.count() <= 2 * COMMON else known
-        blocks = blocks.join(known, (F.col("h") == F.col("kh")) & (F.col("block") == F.col("kb")), "left")
-    else:
-        blocks = blocks.withColumn("known", F.lit(None).cast("long"))
+    blocks = blocks.join(F.broadcast(_common(blocks.select("h", "block"))), F.col("h") == F.col("kh"), "left")
     seen = F.col("known").isNotNull()
     bucket = F.when(seen, -1 - F.pmod(F.xxhash64("rid", "pos"), F.lit(_BUCKETS))).otherwise(F.pmod("h", F.lit(_BUCKETS)))
     first = F.col("pos") == 0
@@ -82,9 +93,9 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # 0 names nothing at any level: it stands for a missing right half
         pairs = now.groupBy("rid", "c", F.expr("pos div 2").cast("int").alias("pos")).agg(F.max(F.expr("if(pos % 2 = 0, name, null)")).alias("a"), F.coalesce(F.max(F.expr("if(pos % 2 = 1, name, null)")), F.lit(0).cast("long")).alias("b"))
         pairs = common.cut(pairs, "pairs")
-        names = pairs.select("a", "b").distinct().withColumn("bucket", F.pmod(F.xxhash64("a", "b"), F.lit(_BUCKETS)))
-        names = names.withColumn("name", _named("bucket", "a", "b")).drop("bucket")
-        now = common.cut(pairs.join(names, ["a", "b"]).select("rid", F.expr("(c + 1) div 2").cast("int").alias("c"), "pos", "name"), "level")
+        names = pairs.groupBy("a", "b").agg(F.count("*").alias("c")).withColumn("bucket", F.pmod(F.xxhash64("a", "b"), F.lit(_BUCKETS)))
+        names = common.cut(names.withColumn("name", _named("bucket", "a", "b")).drop("bucket"), "names")
+        now = common.cut(_meet(pairs.withColumnRenamed("c", "m"), names, ["a", "b"]).withColumnRenamed("m", "c").select("rid", F.expr("(c + 1) div 2").cast("int").alias("c"), "pos", "name"), "level")
         ended = now.where("c = 1").select("rid", F.col("name").alias("last"))
         done = ended if done is None else done.union(ended)
         now = now.where("c > 1")
@@ -101,12 +112,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     ids = common.cut(identities(docs, id_col, text_col, block, rid), "ids")
     groups = common.cut(ids.groupBy("n", "name").agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("group_size")), "groups")
-    # Rows of the largest groups, of which there are COMMON at most, meet their group by broadcast; all others by a shuffle
-    # in which no group is large.
-    total = groups.agg(F.sum("group_size")).first()[0] or 0
-    large = F.col("group_size") >= F.greatest(F.lit(2), F.lit(total / COMMON))
-    hot = F.broadcast(groups.where(large))
-    rows = ids.join(hot, ["n", "name"]).unionByName(ids.join(hot, ["n", "name"], "left_anti").join(groups.where(~large), ["n", "name"]))
+    rows = _meet(ids, groups.withColumn("c", F.col("group_size")), ["n", "name"])
     return rows.select("rid", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 

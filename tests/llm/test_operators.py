@@ -497,6 +497,20 @@ def test_common_blocks_take_the_other_way(spark, monkeypatch):
     assert got == {k: (39, 40) if k < 40 else (k, 1) for k in range(51)}
 
 
+def test_large_groups_of_long_copies(spark, monkeypatch):
+    """Every level of pairs has a pair that a third of all rows share, and near copies differ in one late block."""
+    monkeypatch.setattr(exact, "LEAST", 5)
+    r = random.Random(3)
+    long = "".join(r.choices("abcdefgh ", k=300))
+    texts = [long] * 30 + [long[:-1] + "Z"] * 20 + ["".join(r.choices("abcdefgh ", k=r.randint(0, 300))) for _ in range(40)] + [None, ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    best, size = {}, Counter(map(low, texts))
+    for k, t in enumerate(texts):
+        best[low(t)] = k
+    got = {x.doc_id: (x.keep_id, x.group_size) for x in exact.exact_groups(df, block=16).collect()}
+    assert got == {k: (best[low(t)], size[low(t)]) for k, t in enumerate(texts)}
+
+
 def test_exact_copies_go(docs):
     kept = exact.drop_exact_copies(docs)
     assert kept.columns == docs.columns
