@@ -46,6 +46,7 @@ class Limits:
     max_page_index_bytes: int = 1 << 30
     max_varint_bytes: int = 10
     max_transaction_span: int = 1 << 64
+    max_page_index_entries: int = (1 << 32) - 1
 
     def __post_init__(self):
         if any(getattr(self, f.name) < 1 for f in fields(self)) or self.max_varint_bytes > 10:
@@ -106,6 +107,8 @@ class Header:
             raise FormatError("InvalidPreApplyChecksum")
         if self.snapshot and self.snapshot_pages > limits.max_pages:
             raise FormatError("PageLimitExceeded")
+        if self.snapshot and self.snapshot_pages > limits.max_page_index_entries:
+            raise FormatError("PageIndexLimitExceeded")
 
     @property
     def snapshot_pages(self) -> int:
@@ -140,12 +143,27 @@ class LogFile:
     post_apply_checksum: int = 0
     file_checksum: int = 0
     byte_count: int = 0
+    sums: np.ndarray | None = None
+
+    def page_sums(self) -> np.ndarray:
+        """Remainders of the pages' bytes, worked out once."""
+        if self.sums is None:
+            self.sums = C.remainders(np.frombuffer(b"".join(self.pages), np.uint8).reshape(len(self.pages), self.header.page_size))
+        return self.sums
 
     def page_checksums(self) -> np.ndarray:
-        if not self.pages:
-            return np.zeros(0, np.uint64)
-        rows = np.frombuffer(b"".join(self.pages), np.uint8).reshape(len(self.pages), -1)
-        return C.page_checksums(np.array(self.numbers), rows)
+        return C.numbered(np.array(self.numbers, np.int64), self.page_sums(), self.header.page_size)
+
+    def logical_sum(self, start: bytes, heads: list[bytes], tail: bytes) -> int:
+        """The file's checksum: of the header, each page's head and bytes, and the tail up to the checksum itself."""
+        if len({*map(len, heads)}) > 1:  # older frames among others
+            return C.crc64(b"".join([start, *[x for pair in zip(heads, self.pages) for x in pair], tail])) | FLAG
+        state, n = C.after(C.ONES, C.remainders(np.frombuffer(start, np.uint8)[None, :]), len(start))[0], len(heads)
+        if n:
+            size = len(heads[0]) + self.header.page_size
+            each = C.after(C.remainders(np.frombuffer(b"".join(heads), np.uint8).reshape(n, -1)), self.page_sums(), self.header.page_size)
+            state = C.after(state, C.joined(each, size), n * size)[0]
+        return int(C.after(state, C.remainders(np.frombuffer(tail, np.uint8)[None, :]), len(tail))[0]) ^ C.ONES | FLAG
 
 
 def uvarint(n: int) -> bytes:
@@ -244,19 +262,17 @@ def decode(data: bytes, version: str = "v3", limits: Limits = Limits(), header_o
     out = LogFile(h, byte_count=len(data))
     if header_only:
         return out
-    logical = [data[: HEADER.size]]
-    last = 0
+    heads, last = [], 0
     while True:
         begin = c.at
         head = c.take(PAGE_V3.size if version == "v3" else PAGE_V2.size)
-        logical.append(head)
         number, flags = PAGE_V3.unpack(head) if version == "v3" else (*PAGE_V2.unpack(head), 0)
         if not number and not flags:
             break
         _check_page(h, number, flags, last, len(out.numbers), limits)
         if flags & SIZED:
             size = c.take(SIZE.size)
-            logical.append(size)
+            head += size
             (n,) = SIZE.unpack(size)
             if not n:
                 raise FormatError("InvalidCompressedSize")
@@ -265,7 +281,7 @@ def decode(data: bytes, version: str = "v3", limits: Limits = Limits(), header_o
             page = lz4_block(c.take(n), h.page_size)
         else:
             page = lz4_frame(c, h.page_size, limits.max_compressed_page_size)
-        logical.append(page)
+        heads.append(head)
         out.numbers.append(number)
         out.flags.append(flags)
         out.pages.append(page)
@@ -275,12 +291,12 @@ def decode(data: bytes, version: str = "v3", limits: Limits = Limits(), header_o
         raise FormatError("SnapshotPageSequence")
     begin = c.at
     _read_index(c, out, limits)
-    logical.append(data[begin : c.at])
+    tail = head + data[begin : c.at]
     trailer = c.take(TRAILER.size)
-    logical.append(trailer[:8])
+    tail += trailer[:8]
     out.post_apply_checksum, out.file_checksum = TRAILER.unpack(trailer)
     h.check_trailer(out.post_apply_checksum, out.file_checksum)
-    if C.crc64(b"".join(logical)) | FLAG != out.file_checksum:
+    if out.logical_sum(data[: HEADER.size], heads, tail) != out.file_checksum:
         raise FormatError("ChecksumMismatch")
     if h.snapshot and not h.unchecked and database_checksum(out.page_checksums()) != out.post_apply_checksum:
         raise FormatError("SnapshotChecksumMismatch")
@@ -296,6 +312,8 @@ def _check_page(h: Header, number: int, flags: int, last: int, count: int, limit
         raise FormatError("InvalidPageFlags")
     if count >= limits.max_pages:
         raise FormatError("PageLimitExceeded")
+    if count >= limits.max_page_index_entries:
+        raise FormatError("PageIndexLimitExceeded")
     if number > h.commit:
         raise FormatError("InvalidPageNumber")
     if number == h.lock_page:
@@ -336,45 +354,135 @@ def database_checksum(page_checksums: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(page_checksums, initial=np.uint64(0))) | FLAG
 
 
+#: A file is one binary value of an Arrow batch, whose offsets are 32-bit numbers.
+MAX_FILE_BYTES = (1 << 31) - 1
+
+
+def uvarints(values: np.ndarray) -> bytes:
+    """`uvarint` of each number, one after the other."""
+    values = np.asarray(values, np.uint64)
+    size = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        size += values >= np.uint64(1) << np.uint64(7 * k)
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        on = size > k
+        more = (size[on] > k + 1).astype(np.uint8) << 7
+        out[at[on] + k] = ((values[on] >> np.uint64(7 * k)) & np.uint64(0x7F)).astype(np.uint8) | more
+    return out.tobytes()
+
+
+@dataclass
+class Pressed:
+    """Pages of one size, ready for a file: compressed blocks, the remainders of their bytes, and their checksums."""
+
+    blocks: list[bytes]
+    sums: np.ndarray
+    checksums: np.ndarray
+
+
+def press(numbers: np.ndarray, pages: np.ndarray, compress: bool = True) -> Pressed:
+    """What `assemble` needs of pages (n, page_size); pages of one file may be pressed apart, in any order."""
+    sums = C.remainders(pages)
+    work = lz4_compress if compress else lz4_literals
+    return Pressed([work(row.tobytes()) for row in pages], sums, C.numbered(numbers, sums, pages.shape[1]))
+
+
+def assemble(header: Header, numbers: np.ndarray, pressed: Pressed, post_apply_checksum: int | None = None) -> bytes:
+    """A v3 file of pressed pages in ascending order. A checked snapshot's post checksum is worked out, and must match if given.
+
+    The file's checksum is joined from the pages' remainders; no page is read again.
+    """
+    header.check()
+    numbers, n = np.asarray(numbers, np.int64), len(numbers)
+    ok = not n or (numbers[0] > 0 and numbers[-1] <= header.commit and (np.diff(numbers) > 0).all() and header.lock_page not in numbers)
+    if not ok or header.snapshot:
+        last, want = 0, range(1, header.commit + 1)
+        if not ok or numbers.tolist() != [k for k in want if k != header.lock_page]:
+            for k, number in enumerate(numbers.tolist()):  # name the first fault
+                _check_page(header, number, SIZED, last, k, Limits())
+                last = number
+            if header.snapshot:
+                raise FormatError("SnapshotPageSequence")
+    sizes = np.array([len(b) for b in pressed.blocks], np.int64)
+    heads = np.zeros(n, np.dtype([("page", ">u4"), ("flags", ">u2"), ("size", ">u4")]))
+    heads["page"], heads["flags"], heads["size"] = numbers, SIZED, sizes
+    head, raw = header.pack(), heads.tobytes()
+    step = heads.itemsize
+    state = C.after(C.ONES, C.remainders(np.frombuffer(head, np.uint8)[None, :]), HEADER.size)[0]
+    if n:
+        each = C.after(C.remainders(np.frombuffer(raw, np.uint8).reshape(n, step)), pressed.sums, header.page_size)
+        state = C.after(state, C.joined(each, step + header.page_size), n * (step + header.page_size))[0]
+    post = 0
+    if header.unchecked:
+        if post_apply_checksum:
+            raise FormatError("InvalidTrailer")
+    elif header.snapshot:
+        post = database_checksum(np.asarray(pressed.checksums, np.uint64))
+        if post_apply_checksum is not None and post_apply_checksum != post:
+            raise FormatError("SnapshotChecksumMismatch")
+    else:
+        post = post_apply_checksum or 0
+    frame = sizes + step
+    at = HEADER.size + np.cumsum(frame) - frame
+    entries = uvarints(np.stack([numbers, at, frame], axis=1).ravel()) + b"\0"
+    tail = PAGE_V3.pack(0, 0) + entries + struct.pack(">Q", len(entries)) + struct.pack(">Q", post)
+    if HEADER.size + int(frame.sum()) + len(tail) + 8 > MAX_FILE_BYTES:
+        raise FormatError("OutputLimitExceeded")
+    file = int(C.after(state, C.remainders(np.frombuffer(tail, np.uint8)[None, :]), len(tail))[0]) ^ C.ONES | FLAG
+    header.check_trailer(post, file)
+    parts = [head]
+    for k, block in enumerate(pressed.blocks):
+        parts += (raw[k * step : (k + 1) * step], block)
+    return b"".join([*parts, tail, struct.pack(">Q", file)])
+
+
 def encode(header: Header, pages: Iterator[tuple[int, bytes]] | list[tuple[int, bytes]], post_apply_checksum: int | None = None, compress: bool = True) -> bytes:
-    """A v3 file. A checked snapshot's post checksum is worked out, and must match if given; others must give theirs."""
+    """A v3 file of pages (number, bytes). A checked snapshot's post checksum is worked out; others must give theirs."""
     header.check()
-    out, logical, index, last = [header.pack()], [header.pack()], [], 0
-    at, kept, numbers = HEADER.size, [], []
-    for number, page in pages:
-        _check_page(header, number, SIZED, last, len(index), Limits())
+    pages, last = list(pages), 0
+    for k, (number, page) in enumerate(pages):
+        if number < 1:
+            _check_page(header, number, SIZED, last, k, Limits())
         if len(page) != header.page_size:
             raise FormatError("InvalidPageDataSize")
-        block = lz4_compress(page) if compress else lz4_literals(page)
-        head = PAGE_V3.pack(number, SIZED) + SIZE.pack(len(block))
-        out += [head, block]
-        logical += [head, page]
-        index.append((number, at, len(head) + len(block)))
-        at += len(head) + len(block)
         last = number
-        if header.snapshot and not header.unchecked:
-            kept.append(page)
-            numbers.append(number)
-    if header.snapshot and (len(index) != header.snapshot_pages or (header.commit and last != header.commit - (header.commit == header.lock_page))):
-        raise FormatError("SnapshotPageSequence")
-    post = 0
-    if not header.unchecked:
-        if header.snapshot:
-            rows = np.frombuffer(b"".join(kept), np.uint8).reshape(len(kept), header.page_size)
-            post = database_checksum(C.page_checksums(np.array(numbers), rows) if kept else np.zeros(0, np.uint64))
-            if post_apply_checksum is not None and post_apply_checksum != post:
-                raise FormatError("SnapshotChecksumMismatch")
-        else:
-            post = post_apply_checksum or 0
-    elif post_apply_checksum:
-        raise FormatError("InvalidTrailer")
-    tail = PAGE_V3.pack(0, 0)
-    entries = b"".join(uvarint(v) for e in index for v in e) + b"\0"
-    tail += entries + struct.pack(">Q", len(entries)) + struct.pack(">Q", post)
-    logical.append(tail)
-    file = C.crc64(b"".join(logical)) | FLAG
-    header.check_trailer(post, file)
-    return b"".join([*out, tail, struct.pack(">Q", file)])
+    numbers = np.array([n for n, _ in pages], np.int64)
+    rows = np.frombuffer(b"".join([p for _, p in pages]), np.uint8).reshape(len(pages), header.page_size)
+    return assemble(header, numbers, press(numbers, rows, compress), post_apply_checksum)
+
+
+def read_index(data: bytes, version: str = "v3", limits: Limits = Limits()) -> tuple[Header, list[tuple[int, int, int]]]:
+    """(header, index) of a file, found from its end: no page is looked at. The index is checked against the file's size only."""
+    if version not in VERSIONS:
+        raise FormatError("UnsupportedFormatVersion")
+    if len(data) > limits.max_input_bytes:
+        raise FormatError("InputLimitExceeded")
+    h = Header.unpack(_Cursor(data).take(HEADER.size))
+    h.check(limits)
+    end = len(data) - TRAILER.size - 8
+    if end < HEADER.size:
+        raise FormatError("TruncatedInput")
+    (size,) = struct.unpack_from(">Q", data, end)
+    if not 0 < size <= end - HEADER.size:
+        raise FormatError("InvalidPageIndexSize")
+    out, at, before = [], end - size, HEADER.size
+    while True:
+        page, at = read_uvarint(data, at, limits.max_varint_bytes)
+        if not page:
+            break
+        offset, at = read_uvarint(data, at, limits.max_varint_bytes)
+        length, at = read_uvarint(data, at, limits.max_varint_bytes)
+        if offset != before or offset + length > end - size:
+            raise FormatError("InvalidPageIndex")
+        if len(out) >= min(limits.max_pages, limits.max_page_index_entries):
+            raise FormatError("PageLimitExceeded")
+        out.append((page, offset, length))
+        before = offset + length
+    if at != end:
+        raise FormatError("InvalidPageIndexSize")
+    return h, out
 
 
 def compact(files: list[LogFile]) -> bytes:

@@ -58,6 +58,12 @@ def rolling_add(acc, page_checksum) -> Column:
     return F.when(bad, F.raise_error(F.lit("InvalidChecksumFormat")).cast("bigint")).otherwise(a.bitwiseXOR(b).bitwiseOR(F.lit(FLAG)))
 
 
+def rolling_replace(acc, old, new) -> Column:
+    """A database checksum after one page's checksum ``old`` became ``new``; null stands for no page."""
+    zero = F.lit(0).cast("bigint")
+    return _c(acc).bitwiseXOR(F.coalesce(_c(old), zero)).bitwiseXOR(F.coalesce(_c(new), zero)).bitwiseOR(F.lit(FLAG))
+
+
 def checksum_fold(page_checksum) -> Column:
     """Aggregate: the database checksum of page checksums, in any order. An empty database has the flag alone."""
     body = F.bit_xor(_c(page_checksum).bitwiseAND(F.lit((1 << 63) - 1)))

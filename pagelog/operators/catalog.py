@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from pagelog.functions import exprs
 from pagelog.operators import prefix
+from pagelog.sources import scratch
 
 SNAPSHOT_LEVEL = exprs.SNAPSHOT_LEVEL
 
@@ -156,15 +157,52 @@ def walk(steps: DataFrame, start: int, local: int = LOCAL_STEPS) -> DataFrame:
         jump = twice
 
 
-def restore_plan(files: DataFrame, target: int = 0) -> DataFrame:
+def _planned(files: list[tuple], target: int) -> list[tuple]:
+    """`restore_plan` of rows (level, min_txid, max_txid, size_bytes, created_at_ms) in one sweep over the files by their start."""
+    usable = [f for f in files if not target or f[2] <= target]
+    snaps = [f for f in usable if f[0] == SNAPSHOT_LEVEL]
+    plan = [max(snaps, key=lambda f: (f[2], f[1]))] if snaps else []
+    reach = plan[0][2] if plan else 0
+    rest = sorted((f for f in usable if f[0] < SNAPSHOT_LEVEL), key=lambda f: f[1])
+    better = lambda f: (f[2], -f[1], f[0], -f[4] if f[4] is not None else -(1 << 62), f[3])
+    best, at = None, 0
+    while not (target and reach >= target):
+        while at < len(rest) and rest[at][1] <= reach + 1:
+            best = rest[at] if best is None or better(rest[at]) > better(best) else best
+            at += 1
+        if best is None or best[2] <= reach:
+            break
+        plan.append(best)
+        reach = best[2]
+    if not plan or (target and reach < target):
+        raise PlanError("TxNotAvailable")
+    if not target and any(f[0] < SNAPSHOT_LEVEL and f[1] > reach + 1 for f in files):
+        raise PlanError("NonContiguousPlan")
+    return plan
+
+
+def restore_plan(files: DataFrame, target: int = 0, max_files: int | None = None, local: int = LOCAL_STEPS) -> DataFrame:
     """The files to restore, in order of max_txid: newest snapshot up to the target, then furthest reach each time.
 
     target 0 means the latest; then a file that starts beyond a gap is an error, as are a target that is not reached and an
-    empty plan.
+    empty plan. More than ``max_files`` steps are PlanCapacityExceeded. A catalog of up to ``local`` files, five numbers each,
+    is planned by the driver in one job; a longer one by joins, of which the driver sees none.
     """
+    out = _restore_plan(files, target, local)
+    if max_files is not None and out.limit(max_files + 1).count() > max_files:
+        raise PlanError("PlanCapacityExceeded")
+    return out
+
+
+def _restore_plan(files: DataFrame, target: int, local: int) -> DataFrame:
     spark = files.sparkSession
-    shared_checkpoint(spark)
+    scratch.set_checkpoint_dir(spark)
     pool = files.select("level", F.col("min_txid").cast("bigint").alias("min_txid"), F.col("max_txid").cast("bigint").alias("max_txid"), "size_bytes", F.col("created_at_ms").cast("bigint").alias("created_at_ms"))
+    got = pool.limit(local + 1).collect()
+    if len(got) <= local:
+        rows = _planned([tuple(r) for r in got], target)
+        return spark.createDataFrame(rows, pool.schema).orderBy("max_txid")
+    pool = scratch.cut(pool, "catalog")  # five narrow columns, read several times
     usable = pool.where(F.col("max_txid") <= target) if target else pool
     snap = newest_snapshot(usable)
     row = snap.first()
@@ -174,7 +212,7 @@ def restore_plan(files: DataFrame, target: int = 0) -> DataFrame:
     if not (target and start >= target):
         reaches = rest.select(F.col("max_txid").alias("reach")).distinct().union(spark.createDataFrame([(start,)], "reach bigint")).distinct()
         steps = successors(rest, reaches).checkpoint()
-        path = walk(steps, start)
+        path = walk(steps, start, local)
         out = snap.unionByName(steps.join(path, "reach", "left_semi").select(*snap.columns))
     reached = out.agg(F.max("max_txid")).first()[0]
     if reached is None or (target and reached < target):
@@ -184,18 +222,6 @@ def restore_plan(files: DataFrame, target: int = 0) -> DataFrame:
     return out.orderBy("max_txid")
 
 
-def shared_checkpoint(spark) -> None:
-    """Checkpoints go where spark.checkpoint.dir says; one local process without it gets a folder of its own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagelog-"))
-
-
 def compaction_prefix(source: DataFrame, max_inputs: int, max_bytes: int) -> DataFrame:
     """The leading files of a listing that fit both budgets; the first that does not fit ends it."""
     w = Window.orderBy("min_txid", "max_txid")

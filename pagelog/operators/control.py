@@ -1,19 +1,21 @@
 """The controller: capture, restore and maintenance of one replica tree of log files.
 
-Files lie under ``<root>/ltx/<level>/<min>-<max>.ltx``. Every operation plans on the listing, works on pages as DataFrames,
-and publishes whole objects; deletion comes after what replaces the deleted files is durable and verified.
+Files lie under ``<root>/ltx/<level>/<min>-<max>.ltx``. Every operation plans on the listing, decides on headers and page
+numbers, and moves only the pages that it keeps. Objects are read back before they appear under their names; deletion comes
+after what replaces the deleted files is there.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from pagelog.functions import codec, exprs
 from pagelog.operators import catalog, merge
-from pagelog.sources import logfiles
+from pagelog.sources import logfiles, objects, scratch
 from pagelog.sources.store import Files
 
 
@@ -37,23 +39,87 @@ class Outcome:
     covered: int = 0
 
 
+class Counters(dict):
+    """Counts of operations that stop at MOST; ``saturated`` tells for good that one has."""
+
+    MOST = (1 << 64) - 1
+    saturated = False
+
+    def add(self, name: str, n: int = 1) -> None:
+        now = self.get(name, 0)
+        self.saturated = self.saturated or n > self.MOST - now
+        self[name] = min(now + n, self.MOST)
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """What one operation may take: inputs and bytes of a compaction, files and pages of any chain, size of an image."""
+
+    max_inputs: int = 256
+    max_bytes: int = 1 << 30
+    max_files: int = 100_000
+    max_total_pages: int = 1 << 40
+    max_image_pages: int = (1 << 32) - 1
+    max_image_bytes: int = 1 << 48
+
+    def __post_init__(self):
+        if min(vars(self).values()) < 1 or self.max_files < self.max_inputs:
+            raise ControlError("InvalidConfiguration")
+
+
+@dataclass
+class Chain:
+    """A plan's files: headers on the driver (the bounds limit their number), page numbers in a stored table."""
+
+    files: DataFrame  # of the binary reader, looked up once
+    heads: list[Row]
+    plan: DataFrame  # key, input_ordinal, version
+    numbers: DataFrame  # input_ordinal, page_number
+    stored: str
+
+    @property
+    def last(self) -> Row:
+        return self.heads[-1]
+
+
 @dataclass
 class Controller:
     spark: SparkSession
     root: str
     ladder: catalog.Ladder = catalog.Ladder()
     limits: codec.Limits = codec.Limits()
-    max_inputs: int = 256
-    max_bytes: int = 1 << 30
+    bounds: Bounds = Bounds()
+    versions: dict[str, str] = field(default_factory=dict)  # format of files, by "level/name", that is not the current one
     state: str = "ready"
     last_ms: int | None = None
-    counters: dict[str, int] = field(default_factory=lambda: {"sync": 0, "restore": 0, "maintain": 0, "failed": 0})
+    counters: Counters = field(default_factory=lambda: Counters(sync=0, restore=0, maintain=0, failed=0))
 
     def __post_init__(self):
-        if self.max_inputs < 1 or self.max_bytes < 1:
-            raise ControlError("InvalidConfiguration")
         self.files = Files(self.spark, self.root)
 
+    # Startup
+
+    def start(self, mode: str, expected: Position | None = None, image: DataFrame | None = None) -> tuple[Position, DataFrame | None]:
+        """Take up work: 'require_empty' wants no file at all, 'verified_local' an image of pages (page_number, data) that equals
+        the replica at its position, 'restore_latest' returns the replica's image. A replica that does not fit is refused."""
+        if mode not in ("require_empty", "verified_local", "restore_latest"):
+            raise ControlError("InvalidConfiguration")
+        at = self.position()
+        if mode == "require_empty":
+            if at.txid:
+                raise ControlError("ReplicaNotEmpty")
+            return at, None
+        at, remote = self.restore()
+        if mode == "restore_latest":
+            return at, remote
+        if image is None or (expected is not None and expected.txid != at.txid):
+            raise ControlError("PositionMismatch")
+        digest = F.struct("page_number", F.sha2("data", 256).alias("digest"))
+        differs = image.select(digest.alias("a")).join(remote.select(digest.alias("b")), F.col("a") == F.col("b"), "full_outer").where("a is null or b is null")
+        if not differs.isEmpty():
+            raise ControlError("DivergentHistory")
+        return at, image
+
     # Listings
 
     def listing(self) -> DataFrame:
@@ -69,14 +135,14 @@ class Controller:
     def _admit(self, op: str) -> None:
         if self.state != "ready":
             raise ControlError("Poisoned" if self.state == "poisoned" else "Finished")
-        self.counters[op] += 1
+        self.counters.add(op)
 
     def _run(self, op: str, work, harmless: tuple[str, ...] = ()):
         self._admit(op)
         try:
             return work()
         except Exception as e:
-            self.counters["failed"] += 1
+            self.counters.add("failed")
             if str(e) not in harmless:
                 self.state = "poisoned"
             raise
@@ -90,91 +156,141 @@ class Controller:
         got = self.listing().agg(F.max("max_txid")).first()[0]
         return Position(int(got or 0))
 
-    def sync(self, pages: DataFrame, commit: int, page_size: int, now_ms: int, full: bool = False) -> Position:
+    def sync(self, pages: DataFrame, commit: int, page_size: int, now_ms: int, full: bool = False, wal: dict | None = None) -> Position:
         """Publish one transaction's pages (page_number, data) as the next level 0 file. ``full`` makes it hold every page.
 
         The first file is a snapshot and starts at transaction 1. Pages that the database grew by are always sent, zero if
         they are not given: otherwise a compaction over a shrink and a growth would bring old pages back. Times may not run
-        backwards.
+        backwards. ``wal`` tells the part of a write-ahead log that the file stands for: header fields by name.
         """
 
         def work() -> Position:
             if self.last_ms is not None and now_ms < self.last_ms:
                 raise ControlError("TimestampRegression")
+            self._fits(commit, page_size)
             txid = self.position().txid + 1
-            head = {"flags": codec.NO_CHECKSUM, "page_size": page_size, "commit": commit, "min_txid": txid, "max_txid": txid, "timestamp_ms": now_ms}
+            head = {"flags": codec.NO_CHECKSUM, "page_size": page_size, "commit": commit, "min_txid": txid, "max_txid": txid, "timestamp_ms": now_ms} | (wal or {})
             lock = exprs.LOCK_BYTE // page_size + 1
             rows = pages.where((F.col("page_number") <= commit) & (F.col("page_number") != lock))
             known = 0 if full or txid == 1 else self._last_commit(txid - 1)
-            every = merge.zero_fill(rows, commit, page_size, {"data": F.lit(bytes(page_size))})
-            rows = rows.where(F.col("page_number") <= known).unionByName(every.where(F.col("page_number") > known))
+            if known < commit:  # only what the database grew by is filled up
+                grown = merge.zero_fill(rows.where(F.col("page_number") > known), commit, page_size, {"data": F.lit(bytes(page_size))}, first=known + 1)
+                rows = rows.where(F.col("page_number") <= known).unionByName(grown) if known else grown
             self._write(head, rows, 0)
             self.last_ms = now_ms
             return Position(txid)
 
         return self._run("sync", work, ("TimestampRegression",))
 
+    def _fits(self, commit: int, page_size: int) -> None:
+        if commit > self.bounds.max_image_pages:
+            raise ControlError("PageLimitExceeded")
+        if commit * page_size > self.bounds.max_image_bytes:
+            raise ControlError("OutputLimitExceeded")
+
     def _last_commit(self, txid: int) -> int:
         """Pages after a transaction, from the header of the lowest-level file that ends with it."""
         r = self.listing().where(F.col("max_txid") == txid).orderBy("level").first()
-        return logfiles.read_files(self.spark, r.path, limits=self.limits, header_only=True).first().commit
+        key = "/".join(r.path.split("/")[-2:])
+        return logfiles.read_files(self.spark, [r.path], self.versions.get(key, "v3"), self.limits, header_only=True).first().commit
 
-    def _write(self, head: dict, pages: DataFrame, level: int, post: int | None = None) -> None:
+    def _write(self, head: dict, pages: DataFrame, level: int, post: int | None = None) -> int:
+        """Publish one file; the number of its pages."""
         base = {n: 0 for n in logfiles._HEAD} | head
         schema = "input_ordinal bigint, " + ", ".join(f"{n} {'decimal(20,0)' if n in logfiles._WIDE else 'bigint'}" for n in logfiles._HEAD) + ", post_apply_checksum bigint"
-        from decimal import Decimal
-
         row = tuple(Decimal(int(base[n])) if n in logfiles._WIDE else int(base[n]) for n in logfiles._HEAD)
         heads = self.spark.createDataFrame([(0, *row, post)], schema)
         files = logfiles.encode_files(heads, pages.select(F.lit(0).cast("bigint").alias("input_ordinal"), "page_number", "data"))
-        done = logfiles.publish(files.select(F.lit(f"ltx/{level}").alias("folder"), "name", "content"), self.root).collect()  # one row: one object
-        assert len(done) == 1
+        # one row: one object, kept apart from the next step, so that a retried write does not lay it out again
+        stored, at = scratch.table(files, "file")
+        done = logfiles.publish(stored.select(F.lit(f"ltx/{level}").alias("folder"), "name", "content"), self.root).collect()
+        n = stored.agg(F.sum("page_count"), F.count("*")).first()
+        scratch.drop(self.spark, at)
+        if len(done) != 1 or n[1] != 1:
+            raise ControlError("IndeterminateOutcome")
+        return int(n[0])
 
     # Restore
 
-    def _chain(self, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(headers, pages) of a plan's files, verified: identity, page size and continuity."""
-        at = plan.select("level", exprs.file_name("min_txid", "max_txid").alias("name"), "max_txid")
-        names = [f"{self.root}/ltx/{r.level}/{r.name}" for r in at.orderBy("max_txid").collect()]  # a plan, not a catalog
-        heads = self.spark.read.format("binaryFile").load(names).select("path", "content").mapInArrow(logfiles._files("v3", self.limits, False), logfiles.FILES)
-        heads = heads.withColumn("name", F.element_at(F.split("path", "/"), -1))
-        bad = heads.where("status <> 'verified'").select("error").first()
-        if bad:
-            raise ControlError(bad.error)
-        ident = exprs.parse_file_name("name")
-        if not heads.where((ident["min_txid"] != F.col("min_txid")) | (ident["max_txid"] != F.col("max_txid"))).isEmpty():
-            raise ControlError("ObjectIdentityMismatch")
-        order = self.spark.createDataFrame([(k, n.rsplit("/", 1)[1]) for k, n in enumerate(names)], "input_ordinal bigint, name string")
-        heads = heads.join(F.broadcast(order), "name")  # a plan's files, of which the limits bound the number
-        if heads.agg(F.count_distinct("page_size")).first()[0] > 1:
+    def _chain(self, plan: DataFrame) -> Chain:
+        """A plan's files, each decoded once and verified: identity, page size, checksum mode, continuity and bounds."""
+        rows = plan.select("level", exprs.file_name("min_txid", "max_txid").alias("name"), "max_txid").orderBy("max_txid").limit(self.bounds.max_files + 1).collect()
+        if len(rows) > self.bounds.max_files:
+            raise ControlError("PlanCapacityExceeded")
+        keys = [f"{r.level}/{r.name}" for r in rows]
+        paths = logfiles.named_files(self.spark, [f"{self.root}/ltx/{k}" for k in keys])
+        order = self.spark.createDataFrame([(k, n, self.versions.get(k, "v3")) for n, k in enumerate(keys)], "key string, input_ordinal bigint, version string")
+        if self.bounds.max_total_pages < Bounds.max_total_pages:  # known from the indexes, before a page is decompressed
+            if logfiles.read_index(self.spark, paths, limits=self.limits).count() > self.bounds.max_total_pages:
+                raise ControlError("PageLimitExceeded")
+        got, at = scratch.table(logfiles.read_chain(self.spark, paths, order, self.limits), "chain")
+        heads = got.drop("numbers").orderBy("input_ordinal").collect()
+        self._check_chain(heads, keys)
+        return Chain(paths, heads, order, got.select("input_ordinal", F.explode("numbers").alias("page_number")), at)
+
+    def _check_chain(self, heads: list[Row], keys: list[str]) -> None:
+        for r, key in zip(heads, keys, strict=True):
+            if r.status != "verified":
+                raise ControlError(r.error)
+            if f"{int(r.min_txid):016x}-{int(r.max_txid):016x}.ltx" != key.split("/")[1]:
+                raise ControlError("ObjectIdentityMismatch")
+        if len({r.page_size for r in heads}) > 1:
             raise ControlError("CompactionPageSizeMismatch")
-        fault = catalog.contiguity_breaks(heads).orderBy("input_ordinal").select("fault").first()
-        if fault:
-            raise ControlError(fault.fault)
-        pages = logfiles.read_pages(self.spark, names, limits=self.limits, strict=True)
-        pages = pages.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(F.broadcast(order), "name")
-        return heads, pages
+        for a, b in zip(heads, heads[1:]):
+            if b.min_txid != a.max_txid + 1:
+                raise ControlError("NonContiguousTransition")
+            if not b.flags & codec.NO_CHECKSUM and b.pre_apply_checksum != a.post_apply_checksum:
+                raise ControlError("DivergentHistory")
+        self._fits(heads[-1].commit, heads[-1].page_size)
+
+    def _chosen(self, chain: Chain, left: DataFrame) -> DataFrame:
+        """The payloads of chosen versions (page_number, input_ordinal)."""
+        lists = left.groupBy("input_ordinal").agg(F.collect_list("page_number").alias("numbers"))  # a file's own pages at most
+        return logfiles.read_chosen(self.spark, chain.files, chain.plan.join(lists, "input_ordinal"), self.limits)
+
+    def verify(self, target: int = 0) -> Position:
+        """Decode and check all files of a restore without making an image; the position that they reach."""
+
+        def work() -> Position:
+            chain = self._chain(catalog.restore_plan(self.listing().drop("path"), target, self.bounds.max_files))
+            scratch.drop(self.spark, chain.stored)
+            if chain.heads[0].min_txid != 1:
+                raise ControlError("NonContiguousTransition")
+            return Position(int(chain.last.max_txid), chain.last.post_apply_checksum)
+
+        return self._run("restore", work, ("TxNotAvailable",))
 
     def restore(self, target: int = 0) -> tuple[Position, DataFrame]:
         """(position, pages 1..commit as (page_number, data)) as of a transaction, 0 for the latest.
 
         Pages come by sequential-apply semantics; pages never written are zero. A checked chain's image must match its
-        checksum.
+        checksum. Which versions stay is decided on page numbers; only their payloads are decoded again.
         """
 
         def work() -> tuple[Position, DataFrame]:
-            plan = catalog.restore_plan(self.listing().drop("path"), target)
-            heads, pages = self._chain(plan)
-            last = heads.orderBy(F.desc("input_ordinal")).first()
-            if heads.agg(F.min("min_txid")).first()[0] != 1 and heads.where("input_ordinal = 0").first().page_count == 0:
+            plan = catalog.restore_plan(self.listing().drop("path"), target, self.bounds.max_files)
+            chain = self._chain(plan)
+            last, commits = chain.last, [r.commit for r in chain.heads]
+            if chain.heads[0].min_txid != 1:
                 raise ControlError("NonContiguousTransition")
-            image = merge.replay(pages, heads)
+            least, low = [], None
+            for k in range(len(commits) - 1, -1, -1):
+                least.append((k, low))
+                low = commits[k] if low is None else min(low, commits[k])
+            least = F.broadcast(self.spark.createDataFrame(least, "input_ordinal bigint, least_after bigint"))  # one row a file
+            left = merge.alive(chain.numbers, least).where(F.col("page_number") <= last.commit)
+            image = self._chosen(chain, left)
             if not last.flags & codec.NO_CHECKSUM:
+                image, _ = scratch.table(image.select("page_number", "data", "page_checksum"), "image")  # read twice
                 got = merge.database_checksum(image, page_size=last.page_size).first()[0]
                 if got != last.post_apply_checksum:
                     raise ControlError("DatabaseChecksumMismatch")
-            full = merge.zero_fill(image.select("page_number", "data"), last.commit, last.page_size, {"data": F.lit(bytes(last.page_size))})
-            return Position(int(last.max_txid), last.post_apply_checksum), full
+            image, n = image.select("page_number", "data"), left.count()
+            lock = exprs.LOCK_BYTE // last.page_size + 1
+            if n < last.commit - (lock <= last.commit):
+                gone = merge.missing(left, last.commit, last.page_size)
+                image = image.unionByName(gone.withColumn("data", F.lit(bytes(last.page_size))))
+            return Position(int(last.max_txid), last.post_apply_checksum), image
 
         return self._run("restore", work, ("TxNotAvailable",))
 
@@ -206,34 +322,41 @@ class Controller:
         if not catalog.batch_due(rest, min_files):
             return Outcome("idle", level)
         snap = catalog.newest_snapshot(files).first() if level == catalog.SNAPSHOT_LEVEL else None
-        inputs, room = self.max_inputs, self.max_bytes
+        inputs, room = self.bounds.max_inputs, self.bounds.max_bytes
         if snap:
             inputs, room = inputs - 1, room - snap.size_bytes
         if inputs < 1 or room < 1:
             return Outcome("idle", level)
-        anchor = self.spark.createDataFrame([(covered,)], "max_txid bigint")
-        chosen, _ = catalog.compaction_plan(rest, anchor, inputs, room)
-        chosen = chosen.select(*files.columns)
-        n = chosen.count()
+        chosen = catalog.compaction_prefix(rest, inputs, room).select(*files.columns)
+        first, n = chosen.agg(F.min("min_txid"), F.count("*")).first()
         if not n:
             return Outcome("idle", level)
+        if first != covered + 1:
+            raise catalog.PlanError("CompactionNotAvailable")
         if snap:
             chosen = chosen.unionByName(self.spark.createDataFrame([snap], files.schema))
         return self._compact(chosen, level, files)
 
     def _compact(self, chosen: DataFrame, level: int, files: DataFrame) -> Outcome:
-        heads, pages = self._chain(chosen)
-        s = merge.chain_summary(heads).first()
-        modes = heads.agg(F.count_distinct(exprs.no_checksum()), F.max("flags")).first()
-        if modes[0] > 1:
+        chain = self._chain(chosen)
+        first, last = chain.heads[0], chain.last
+        modes = {r.flags & codec.NO_CHECKSUM for r in chain.heads}
+        if len(modes) > 1:
             raise ControlError("CompactionChecksumModeMismatch")
-        out = merge.compact(pages, heads).select("page_number", "data")
-        head = {"flags": modes[1] & codec.NO_CHECKSUM, "page_size": s.page_size, "commit": s.commit, "min_txid": s.min_txid, "max_txid": s.max_txid, "timestamp_ms": s.timestamp_ms, "pre_apply_checksum": s.pre_apply_checksum}
-        post = heads.orderBy(F.desc("input_ordinal")).first().post_apply_checksum
-        self._write(head, out, level, post or None)
-        written = out.count()
-        doomed = chosen.where(F.col("level") != level).unionByName(catalog.covered_snapshots(files, int(s.min_txid), int(s.max_txid))) if level == catalog.SNAPSHOT_LEVEL else chosen
-        return Outcome("compacted", level, self._delete(doomed), s.inputs, written, int(s.max_txid))
+        newest = chain.numbers.where(F.col("page_number") <= last.commit).groupBy("page_number").agg(F.max("input_ordinal").alias("input_ordinal"))
+        head = {"flags": modes.pop(), "page_size": first.page_size, "commit": last.commit, "min_txid": first.min_txid, "max_txid": last.max_txid, "timestamp_ms": last.timestamp_ms, "pre_apply_checksum": first.pre_apply_checksum}
+        written = self._write(head, self._chosen(chain, newest), level, last.post_apply_checksum or None)
+        scratch.drop(self.spark, chain.stored)
+        doomed = chosen.where(F.col("level") != level).unionByName(catalog.covered_snapshots(files, int(first.min_txid), int(last.max_txid))) if level == catalog.SNAPSHOT_LEVEL else chosen
+        return Outcome("compacted", level, self._delete(doomed), len(chain.heads), written, int(last.max_txid))
+
+    def maintain_batch(self, most: int = 64, min_files: int = 1) -> list[Outcome]:
+        """Work on all levels from the lowest on, until nothing is due or ``most`` quanta are done."""
+        out: list[Outcome] = []
+        for level in [*range(1, self.ladder.top + 1), catalog.SNAPSHOT_LEVEL]:
+            while len(out) < most and (done := self.maintain(level, min_files)).kind != "idle":
+                out.append(done)
+        return out
 
     def _reconcile(self, files: DataFrame, source: DataFrame, upper: DataFrame, level: int, covered: int) -> Outcome | None:
         doomed = catalog.retention(source, upper)
@@ -242,17 +365,27 @@ class Controller:
             doomed = doomed.unionByName(catalog.covered_snapshots(files, int(newest.min_txid), int(newest.max_txid)))
         if doomed.isEmpty():
             return None
-        heads, _ = self._chain(upper)
-        if int(heads.agg(F.max("max_txid")).first()[0]) != covered:
+        chain = self._chain(upper)
+        scratch.drop(self.spark, chain.stored)
+        if int(chain.last.max_txid) != covered:
             raise ControlError("ObjectIdentityMismatch")
         return Outcome("reconciled", level, self._delete(doomed), covered=covered)
 
     def _delete(self, doomed: DataFrame) -> int:
-        """Delete objects, one listing row at a time; one that is gone already is no error."""
-        catalog.shared_checkpoint(self.spark)
-        n = 0
+        """Delete objects in parallel; one that is gone already is no error."""
+        root = self.root
+
+        def run(batches):
+            import pyarrow as pa
+
+            store = objects.Objects(root)
+            for b in batches:
+                for name in b.column(0).to_pylist():
+                    store.delete(name)
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
         # the rows come from a listing of the very files that go, so they are fixed first
-        for r in doomed.select("level", exprs.file_name("min_txid", "max_txid").alias("name")).checkpoint().toLocalIterator():
-            self.files.delete(f"ltx/{r.level}/{r.name}")
-            n += 1
-        return n
+        names, at = scratch.table(doomed.select(F.concat(F.lit("ltx/"), F.col("level"), F.lit("/"), exprs.file_name("min_txid", "max_txid")).alias("name")), "doomed")
+        n = names.mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0]
+        scratch.drop(self.spark, at)
+        return int(n or 0)

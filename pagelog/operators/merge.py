@@ -47,6 +47,15 @@ def least_commit_after(headers: DataFrame, order: str = "input_ordinal") -> Data
     return rows.select(order, (-F.col("__most")).alias("least_after"))
 
 
+def alive(numbers: DataFrame, least: DataFrame, order: str = "input_ordinal") -> DataFrame:
+    """(page_number, order) of the versions that a replay leaves, from narrow rows (page_number, order) of all inputs' pages.
+
+    ``least`` has the least later commit of each input, null for the last; pages above the last commit are still among them.
+    """
+    newest = numbers.groupBy("page_number").agg(F.max(order).alias(order))
+    return newest.join(least, order).where(F.col("least_after").isNull() | (F.col("least_after") >= F.col("page_number"))).select("page_number", order)
+
+
 def replay(pages: DataFrame, headers: DataFrame, order: str = "input_ordinal") -> DataFrame:
     """Newest page per number under sequential apply: truncation by an earlier commit wipes a page, growth leaves it zero.
 
@@ -54,9 +63,8 @@ def replay(pages: DataFrame, headers: DataFrame, order: str = "input_ordinal") -
     input. Pages wiped and not written again are not returned (`zero_fill` adds them). A caller that restores from a snapshot
     leaves out the inputs before it.
     """
-    newest = pages.groupBy("page_number").agg(F.max(order).alias(order))
-    alive = newest.join(least_commit_after(headers, order), order).where(F.col("least_after").isNull() | (F.col("least_after") >= F.col("page_number")))
-    return truncate(pages.join(alive.select("page_number", order), ["page_number", order]), final_commit(headers, order))
+    left = alive(pages.select("page_number", order), least_commit_after(headers, order), order)
+    return truncate(pages.join(left, ["page_number", order]), final_commit(headers, order))
 
 
 def apply_overlay(base: DataFrame, delta: DataFrame, commit: int | Column, payload: list[str], key: str = "page_number") -> DataFrame:
@@ -68,10 +76,17 @@ def apply_overlay(base: DataFrame, delta: DataFrame, commit: int | Column, paylo
     return b.join(d, key, "full_outer").where(F.col(key) <= bound).select(key, *pick)
 
 
-def zero_fill(pages: DataFrame, commit: int, page_size: int, payload: dict[str, Column], key: str = "page_number") -> DataFrame:
-    """All pages 1..commit but the lock page; missing ones get ``payload``'s values."""
+def missing(pages: DataFrame, commit: int, page_size: int, key: str = "page_number") -> DataFrame:
+    """(key): pages 1..commit but the lock page that are not among ``pages``."""
     lock = exprs.LOCK_BYTE // page_size + 1
     every = pages.sparkSession.range(1, commit + 1).withColumnRenamed("id", key).where(F.col(key) != lock)
+    return every.join(pages.select(key), key, "left_anti")
+
+
+def zero_fill(pages: DataFrame, commit: int, page_size: int, payload: dict[str, Column], key: str = "page_number", first: int = 1) -> DataFrame:
+    """All pages ``first``..commit but the lock page; missing ones get ``payload``'s values."""
+    lock = exprs.LOCK_BYTE // page_size + 1
+    every = pages.sparkSession.range(first, commit + 1).withColumnRenamed("id", key).where(F.col(key) != lock)
     fill = [F.when(F.col("__have"), F.col(c)).otherwise(v).alias(c) for c, v in payload.items()]
     return every.join(pages.withColumn("__have", F.lit(True)), key, "left").select(key, *fill)
 
@@ -83,6 +98,16 @@ def database_checksum(pages: DataFrame, page_checksum: str = "page_checksum", pa
     return pages.agg(exprs.checksum_fold(page_checksum).alias("database_checksum"))
 
 
+def checksum_update(base: DataFrame, delta: DataFrame, page_checksum: str = "page_checksum", key: str = "page_number") -> DataFrame:
+    """One row (checksum_change): what a database checksum must be xored with when ``delta``'s pages replace those of ``base``.
+
+    Only the pages of ``delta`` are looked at, so the sum of an image is kept up without reading the image again.
+    """
+    old = base.join(delta.select(key), key, "left_semi")
+    both = old.select(page_checksum).unionAll(delta.select(page_checksum))
+    return both.agg(F.coalesce(F.bit_xor(F.col(page_checksum).bitwiseAND(F.lit((1 << 63) - 1))), F.lit(0).cast("bigint")).alias("checksum_change"))
+
+
 def committed(frames: DataFrame, order: str = "frame_index") -> DataFrame:
     """Frames of committed transactions: those up to the last commit frame."""
     last = frames.agg(F.max(F.when(F.col("commit_pages") > 0, F.col(order))).alias("__last"))

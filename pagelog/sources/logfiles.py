@@ -1,8 +1,9 @@
 """Log files as DataFrames: listing, headers, pages, verdicts; and writing them.
 
 Spark's binary reader fetches whole objects from any store it can reach, and lists them without opening them where no
-content is asked for. Decoding runs in Arrow batches beside the scan, one row per page; a file that fails gives no page at
-all, only its verdict.
+content is asked for. Decoding runs in Arrow batches beside the scan, one row per page. A file that fails gives its verdict, and
+an error where its pages are asked for. Writing compresses and sums pages in parallel; only compressed pages meet in the task
+that lays a file out.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import fields
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _verdict(path: str, data: bytes | None, version: str, limits: codec.Limits, header_only: bool, size: int | None = None) -> tuple[dict, codec.LogFile | None]:
-    row = dict.fromkeys(["flags", *_HEAD, "post_apply_checksum", "file_checksum", "page_count", "error"])
+    row = dict.fromkeys(["flags", *_HEAD, "post_apply_checksum", "file_checksum", "page_count", "error", "numbers"])
     row |= {"path": path, "size_bytes": len(data) if size is None else size, "status": "verified"}
     parts = path.rsplit("/", 2)
     row["level"] = int(parts[1]) if len(parts) == 3 and parts[1].isdigit() and len(parts[1]) in (1, 4) else None
@@ -61,7 +63,7 @@ def _verdict(path: str, data: bytes | None, version: str, limits: codec.Limits,
     if header_only:
         row["status"] = "header"
     else:
-        row |= {"post_apply_checksum": _signed(f.post_apply_checksum), "file_checksum": _signed(f.file_checksum), "page_count": len(f.pages)}
+        row |= {"post_apply_checksum": _signed(f.post_apply_checksum), "file_checksum": _signed(f.file_checksum), "page_count": len(f.pages), "numbers": f.numbers}
     return row, f
 
 
@@ -81,107 +83,230 @@ def _files(version: str, limits: codec.Limits, header_only: bool):
     return run
 
 
-def read_files(spark: SparkSession, path: str, version: str = "v3", limits: codec.Limits = codec.Limits(), header_only: bool = False) -> DataFrame:
-    """One verdict row per file. The version is told, not guessed. ``header_only`` checks headers and leaves pages alone."""
-    files, fits = _scan(spark, path), F.col("length") <= limits.max_input_bytes
-    # a scan that asks for no content opens no file
+#: Tasks that look up the files of a long list of names at most: each name is one small request.
+LOOKUPS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def named_files(spark: SparkSession, names: list[str]) -> DataFrame:
+    """The files of a list of names, looked up once: read what is returned as often as needed."""
+    before = spark.conf.get(LOOKUPS)
+    spark.conf.set(LOOKUPS, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        return spark.read.format("binaryFile").load(names)
+    finally:
+        spark.conf.set(LOOKUPS, before)
+
+
+def _contents(spark: SparkSession, path: str | list[str] | DataFrame, limits: codec.Limits) -> DataFrame:
+    """(path, length, content); the content of files beyond the limit is null, and they are not opened."""
+    files = path if isinstance(path, DataFrame) else named_files(spark, path) if isinstance(path, list) else _scan(spark, path)
+    fits = F.col("length") <= limits.max_input_bytes
     long = files.where(~fits).select("path", "length", F.lit(None).cast("binary").alias("content"))
-    return files.where(fits).select("path", "length", "content").union(long).mapInArrow(_files(version, limits, header_only), FILES)
+    return files.where(fits).select("path", "length", "content").union(long)
+
+
+def read_files(spark: SparkSession, path: str | list[str], version: str = "v3", limits: codec.Limits = codec.Limits(), header_only: bool = False) -> DataFrame:
+    """One verdict row per file. The version is told, not guessed. ``header_only`` checks headers and leaves pages alone."""
+    return _contents(spark, path, limits).mapInArrow(_files(version, limits, header_only), FILES)
+
+
+INDEX = "path string, entry bigint, page_number bigint, frame_offset_bytes bigint, frame_size_bytes bigint, error string"
+
+
+def _indexed(version: str, limits: codec.Limits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(2)):
+                rows, error = np.zeros((1, 3), np.int64), None
+                try:
+                    if not content.is_valid:
+                        raise codec.FormatError("InputLimitExceeded")
+                    rows = np.array(codec.read_index(content.as_py(), version, limits)[1], np.int64).reshape(-1, 3)
+                except codec.FormatError as e:
+                    error = str(e)
+                n, none = len(rows), error is not None
+                cols = [pa.nulls(n, pa.int64()) if none else pa.array(c) for c in (np.arange(n), *rows.T)]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), *cols, pa.array([error] * n, pa.string())], names=[c.split()[0] for c in INDEX.split(", ")])
+
+    return run
+
+
+def read_index(spark: SparkSession, path: str | list[str] | DataFrame, version: str = "v3", limits: codec.Limits = codec.Limits()) -> DataFrame:
+    """A row for each entry of each file's page index, found from the files' ends without decompressing a page.
+
+    A file whose index cannot be read has one row with its error. A file without pages has no row.
+    """
+    return _contents(spark, path, limits).mapInArrow(_indexed(version, limits), INDEX)
+
+
+_PAGE_NAMES = [c.split()[0] for c in PAGES.split(", ")]
+
+
+def _page_batches(path: str, f: codec.LogFile, keep: set[int] | None = None) -> Iterator[pa.RecordBatch]:
+    at = [k for k, n in enumerate(f.numbers) if keep is None or n in keep]
+    sums = f.page_checksums().view(np.int64)
+    for lo in range(0, len(at), 256):
+        ks = at[lo : lo + 256]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([path] * len(ks), pa.string()), pa.array([f.numbers[k] for k in ks], pa.int64()), pa.array([f.flags[k] for k in ks], pa.int32()), pa.array([f.pages[k] for k in ks], pa.binary()),
+            pa.array([f.index[k][1] for k in ks], pa.int64()), pa.array([f.index[k][2] for k in ks], pa.int64()), pa.array(sums[ks]),
+        ], names=_PAGE_NAMES)
 
 
 def _pages(version: str, limits: codec.Limits, strict: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column(0), b.column(1)):
-                row, f = _verdict(path.as_py(), content.as_py(), version, limits, False)
-                if f is None:
-                    if strict:
-                        raise codec.FormatError(f"{row['error']}: {row['path']}")
-                    continue
-                sums = f.page_checksums().astype(np.uint64).view(np.int64)
-                for lo in range(0, len(f.pages), 256):
-                    hi = min(lo + 256, len(f.pages))
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([row["path"]] * (hi - lo), pa.string()), pa.array(f.numbers[lo:hi], pa.int64()), pa.array(f.flags[lo:hi], pa.int32()), pa.array(f.pages[lo:hi], pa.binary()),
-                        pa.array([x[1] for x in f.index[lo:hi]], pa.int64()), pa.array([x[2] for x in f.index[lo:hi]], pa.int64()), pa.array(sums[lo:hi]),
-                    ], names=[c.split()[0] for c in PAGES.split(", ")])
+            for path, size, content in zip(b.column(0), b.column(1).to_pylist(), b.column(2)):
+                row, f = _verdict(path.as_py(), content.as_py(), version, limits, False, size)
+                if f is not None:
+                    yield from _page_batches(row["path"], f)
+                elif strict:
+                    raise codec.FormatError(f"{row['error']}: {row['path']}")
 
     return run
 
 
-def read_pages(spark: SparkSession, path: str | list[str], version: str = "v3", limits: codec.Limits = codec.Limits(), strict: bool = False) -> DataFrame:
-    """Pages of verified files, one row each; files that fail raise if ``strict``, else give none."""
-    rows = spark.read.format("binaryFile").load(path) if isinstance(path, list) else _scan(spark, path)
-    return rows.select("path", "content").mapInArrow(_pages(version, limits, strict), PAGES)
+def read_pages(spark: SparkSession, path: str | list[str], version: str = "v3", limits: codec.Limits = codec.Limits(), strict: bool = True) -> DataFrame:
+    """Pages of verified files, one row each. A file that fails raises; without ``strict`` it gives no page, and `read_files` tells why."""
+    return _contents(spark, path, limits).mapInArrow(_pages(version, limits, strict), PAGES)
+
+
+CHAIN = "input_ordinal bigint, numbers array<bigint>, " + FILES
 
 
-def _encoded(compress: bool):
-    names = ["input_ordinal", *_HEAD, "post_apply_checksum", "page_number", "data"]
+def _keyed(df: DataFrame, plan: DataFrame) -> DataFrame:
+    """Files with the row of ``plan`` (key: level directory and name) that names them."""
+    parts = F.split("path", "/")
+    return df.withColumn("key", F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1))).join(plan, "key")
+
+
+def _chained(limits: codec.Limits):
+    names = [c.split()[0] for c in CHAIN.replace("decimal(20,0)", "decimal").split(", ")]
+    types = {"path": pa.string(), "status": pa.string(), "error": pa.string(), "level": pa.int32(), "page_size": pa.int32(), "numbers": pa.list_(pa.int64())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, size, content, version, ordinal in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist()):
+                row, _ = _verdict(path, content.as_py(), version, limits, False, size)
+                row["input_ordinal"] = ordinal
+                yield pa.RecordBatch.from_arrays([_decimal([row[n]]) if n in _WIDE else pa.array([row[n]], types.get(n, pa.int64())) for n in names], names=names)
+
+    return run
+
+
+def read_chain(spark: SparkSession, paths: list[str] | DataFrame, plan: DataFrame, limits: codec.Limits = codec.Limits()) -> DataFrame:
+    """Verdicts and page numbers of a plan's files, each decoded once; ``plan`` has (key, input_ordinal, version) of each file."""
+    rows = _keyed(_contents(spark, paths, limits), F.broadcast(plan))  # a plan, whose files its maker has bounded
+    return rows.select("path", "length", "content", "version", "input_ordinal").mapInArrow(_chained(limits), CHAIN)
+
+
+def _chosen(limits: codec.Limits):
+    names = ["input_ordinal", *_PAGE_NAMES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (file, page); a file's pages follow one another."""
-        held: list[tuple[int, bytes]] = []
-        now: tuple | None = None
+        for b in batches:
+            for path, size, content, version, ordinal, numbers in zip(*(b.column(k).to_pylist() if k != 2 else b.column(k) for k in range(6))):
+                row, f = _verdict(path, content.as_py(), version, limits, False, size)
+                if f is None:
+                    raise codec.FormatError(f"{row['error']}: {path}")
+                for out in _page_batches(path, f, set(numbers)):
+                    yield pa.RecordBatch.from_arrays([pa.array([ordinal] * out.num_rows, pa.int64()), *out.columns], names=names)
 
-        def done() -> pa.RecordBatch:
-            head = codec.Header(**dict(zip(_HEAD, (int(v) for v in now[1:-1]))) | {"pre_apply_checksum": int(now[1 + _HEAD.index("pre_apply_checksum")]) % (1 << 64)})
-            known = None if now[-1] is None else now[-1] % (1 << 64)
-            data = codec.encode(head, held, known, compress)
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([f"{head.min_txid:016x}-{head.max_txid:016x}.ltx"]), pa.array([data], pa.binary())], names=["input_ordinal", "name", "content"])
+    return run
+
+
+def read_chosen(spark: SparkSession, paths: list[str] | DataFrame, plan: DataFrame, limits: codec.Limits = codec.Limits()) -> DataFrame:
+    """(input_ordinal, page columns) of the pages that ``plan`` (key, input_ordinal, version, numbers) asks of each file.
+
+    Lists of numbers, one a file, meet the files' compressed bytes; pages are decoded where they stay, and none is shuffled.
+    """
+    rows = _keyed(_contents(spark, paths, limits), plan)
+    return rows.select("path", "length", "content", "version", "input_ordinal", "numbers").mapInArrow(_chosen(limits), "input_ordinal bigint, " + PAGES)
+
+
+PRESSED = "input_ordinal bigint, page_number bigint, size int, block binary, sum bigint, page_checksum bigint"
 
+
+def _pressed(compress: bool):
+    names = [c.split()[0] for c in PRESSED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(b.schema.get_field_index(n)) for n in names]
-            keys = list(zip(*(c.to_pylist() for c in cols[:-2])))
-            for key, number, data in zip(keys, cols[-2].to_pylist(), cols[-1]):
-                if key != now:
-                    if now is not None:
-                        yield done()
-                    now, held = key, []
-                if number is not None:
-                    held.append((number, data.as_py()))
-        if now is not None:
-            yield done()
+            size = np.array([-1 if x is None else x for x in pa.compute.binary_length(b.column(2)).to_pylist()])
+            for n in np.unique(size).tolist():  # one, unless files of different page sizes are written together
+                some = b if len(size) and (size == n).all() else b.filter(pa.array(size == n))
+                numbers = some.column(1).to_numpy()
+                if n <= 0 or (numbers < 1).any():
+                    raise codec.FormatError("InvalidPageDataSize" if n <= 0 else "InvalidPageNumber")
+                col = some.column(2)
+                offsets = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, 4 * col.offset)
+                rows = np.frombuffer(col.buffers()[2], np.uint8, int(offsets[-1]))[offsets[0] :].reshape(len(col), n)
+                got = codec.press(numbers, rows, compress)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([n] * len(col), pa.int32()), pa.array(got.blocks, pa.binary()), pa.array(got.sums.view(np.int64)), pa.array(got.checksums.view(np.int64))], names=names)
 
     return run
 
 
+def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (file, page); a file's pages follow one another."""
+    keys = ["input_ordinal", *_HEAD, "post_apply_checksum"]
+    now, held = None, []
+
+    def done() -> pa.RecordBatch:
+        head = codec.Header(**dict(zip(_HEAD, (int(v) for v in now[1:-1]))) | {"pre_apply_checksum": int(now[1 + _HEAD.index("pre_apply_checksum")]) % (1 << 64)})
+        known = None if now[-1] is None else now[-1] % (1 << 64)
+        rows = pa.Table.from_batches(held).combine_chunks()
+        numbers = rows["page_number"].to_numpy()
+        if any(n != head.page_size for n in rows["size"].unique().to_pylist()):
+            raise codec.FormatError("InvalidPageDataSize")
+        # int64 columns are the bit patterns of unsigned sums
+        whole = codec.Pressed(rows["block"].to_pylist(), rows["sum"].to_numpy().view(np.uint64), rows["page_checksum"].to_numpy().view(np.uint64))
+        data = codec.assemble(head, numbers, whole, known)
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([f"{head.min_txid:016x}-{head.max_txid:016x}.ltx"]), pa.array([len(numbers)], pa.int64()), pa.array([data], pa.binary())], names=["input_ordinal", "name", "page_count", "content"])
+
+    for b in batches:
+        ordinals = b.column(0).to_numpy()
+        cuts = np.flatnonzero(ordinals[1:] != ordinals[:-1]) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, b.num_rows]):
+            if lo == hi:
+                continue
+            part = b.slice(lo, hi - lo)
+            key = tuple(part.column(part.schema.get_field_index(n))[0].as_py() for n in keys)
+            if now is None or key[0] != now[0]:
+                if now is not None:
+                    yield done()
+                now, held = key, []
+            part = part.select(["page_number", "size", "block", "sum", "page_checksum"])
+            held.append(part.filter(part.column(0).is_valid()))
+    if now is not None:
+        yield done()
+
+
 def encode_files(headers: DataFrame, pages: DataFrame, compress: bool = True) -> DataFrame:
-    """(input_ordinal, name, content): one encoded file per header row, with its pages of ``pages`` (input_ordinal, page_number, data).
+    """(input_ordinal, name, page_count, content): one encoded file per header row, with its pages of ``pages``
+    (input_ordinal, page_number, data).
 
-    Files are independent: pages are dealt by file and sorted, and only one file's pages are held at a time.
+    Pages are compressed and summed where they are; compressed, they are dealt by file and sorted, and only one file's pages are
+    held at a time. A file beyond `codec.MAX_FILE_BYTES` is OutputLimitExceeded.
     """
     heads = headers.select("input_ordinal", *[F.col(c) for c in _HEAD], "post_apply_checksum")
-    rows = heads.join(pages.select("input_ordinal", "page_number", "data"), "input_ordinal", "left")
+    pressed = pages.select(F.col("input_ordinal").cast("bigint").alias("input_ordinal"), F.col("page_number").cast("bigint").alias("page_number"), "data").mapInArrow(_pressed(compress), PRESSED)
+    rows = heads.join(pressed, "input_ordinal", "left")
     rows = rows.repartition("input_ordinal").sortWithinPartitions("input_ordinal", "page_number")
-    return rows.mapInArrow(_encoded(compress), "input_ordinal bigint, name string, content binary")
+    return rows.mapInArrow(_laid, "input_ordinal bigint, name string, page_count bigint, content binary")
 
 
 def _published(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
-        from pyarrow import fs
+        from pagelog.sources import objects
 
-        store, base = fs.FileSystem.from_uri(root)
+        store = objects.Objects(root)
         for b in batches:
             out = []
             for folder, name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                data, path = content.as_buffer(), f"{base}/{folder}/{name}"
-                store.create_dir(f"{base}/{folder}", recursive=True)
-                have = store.get_file_info(path)
-                if have.type == fs.FileType.File:
-                    with store.open_input_stream(path) as f:
-                        same = f.read() == data.to_pybytes()
-                    if not same:
-                        raise FileExistsError(f"ObjectExists: {path}")
-                    out.append((path, len(data), "unchanged"))
-                    continue
-                part = f"{base}/{folder}/.{name}.{uuid.uuid4().hex[:8]}"
-                with store.open_output_stream(part) as f:
-                    f.write(data)
-                store.move(part, path)  # the only step that makes it visible
-                out.append((path, len(data), "written"))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out])], names=["path", "size_bytes", "outcome"])
+                data = content.as_buffer()
+                out.append((store.uri(f"{folder}/{name}"), len(data), store.put(f"{folder}/{name}", data)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())], names=["path", "size_bytes", "outcome"])
 
     return run
 
@@ -189,8 +314,9 @@ def _published(root: str):
 def publish(objects: DataFrame, root: str) -> DataFrame:
     """Write rows (folder, name, content) as objects under a root that all executors share; (path, size_bytes, outcome).
 
-    Each object is written beside its place and renamed into it, so readers never see a part of one. Writing the same object
-    again changes nothing, so a retried task is harmless; other bytes under the same name are an error.
+    Each object is written beside its place, read back, and renamed into it, so readers never see a part of one. Writing the
+    same object again changes nothing, so a retried task is harmless; other bytes under the same name are an error. Tasks write
+    through `objects.Objects`, which tells the stores that it reaches.
     """
     return objects.select("folder", "name", "content").mapInArrow(_published(root), "path string, size_bytes bigint, outcome string")
 

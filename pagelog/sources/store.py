@@ -1,15 +1,20 @@
 """A versioned store of images: immutable generations and a commit log.
 
-Generation n is a Parquet directory; it exists for readers only once entry n of the log does. Entries are created, never
-replaced, so of two writers of the same number one fails. What a crash leaves behind is a directory without an entry, which
-recovery removes. All files go through Hadoop's file systems, so any store that Spark reaches will do.
+Generation n is a Parquet directory of a name that no other writer has; it exists for readers only once entry n of the log
+names it. Entries are created, never replaced, so of two writers of the same number one fails and neither touches the other's
+data. Each entry carries a checksum of its fields. Readers that need a generation for long hold a lease on it, which keeps
+`expire` away. What a crash leaves behind is a directory that no entry names, which recovery removes. All files go through
+Hadoop's file systems, so any store that Spark reaches will do.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass, field
 
+from pagelog.functions import checksums
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,6 +31,18 @@ class Entry:
     commit: int
     batch: int | None = None
     state: dict = field(default_factory=dict)
+    directory: str = ""
+
+    def text(self) -> str:
+        body = json.dumps(asdict(self), sort_keys=True)
+        return json.dumps({"entry": body, "crc64": f"{checksums.crc64(body.encode()):016x}"})
+
+    @classmethod
+    def parse(cls, text: str) -> Entry:
+        got = json.loads(text)
+        if f"{checksums.crc64(got['entry'].encode()):016x}" != got["crc64"]:
+            raise ValueError("checksum")
+        return cls(**json.loads(got["entry"]))
 
 
 class Files:
@@ -39,18 +56,27 @@ class Files:
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def create(self, name: str, text: str) -> None:
-        """Write a whole new file, or fail: the text is written aside and renamed to a name that must be free."""
-        import uuid
-
-        part = f"{name}.{uuid.uuid4().hex[:8]}.part"
+        """Write a whole new file, or fail. The name is claimed by creating a directory of its own beside it, which of two
+        writers one can; the text is written aside and renamed, so no reader sees a part of it."""
+        part, claim = f"{name}.{uuid.uuid4().hex[:8]}.part", f"{name}.claim"
         out = self.fs.create(self._path(part), False)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        if self.fs.exists(self._path(name)) or not self.fs.rename(self._path(part), self._path(name)):
+        try:
+            if self.fs.exists(self._path(name)):
+                raise StoreError("ObjectExists")
+            try:
+                self.fs.create(self._path(claim), False).close()  # create without overwriting: fails for the second
+            except Exception:
+                raise StoreError("ObjectExists") from None
+            if self.fs.exists(self._path(name)) or not self.fs.rename(self._path(part), self._path(name)):
+                raise StoreError("ObjectExists")
+        except StoreError:
             self.fs.delete(self._path(part), False)
-            raise StoreError("ObjectExists")
+            raise
+        self.fs.delete(self._path(claim), False)
 
     def read(self, name: str) -> str:
         stream = self.fs.open(self._path(name))
@@ -76,9 +102,8 @@ class ImageStore:
 
     def entry(self, generation: int) -> Entry:
         try:
-            got = json.loads(self.files.read(f"log/{generation:020d}.json"))
-            return Entry(**got)
-        except (ValueError, TypeError):
+            return Entry.parse(self.files.read(f"log/{generation:020d}.json"))
+        except (ValueError, TypeError, KeyError):
             raise StoreError("ManifestCorrupt") from None
 
     def current(self) -> Entry | None:
@@ -91,7 +116,7 @@ class ImageStore:
         e = self.current() if generation is None else self.entry(generation)
         if e is None:
             raise StoreError("DatabaseMissing")
-        return self.spark.read.parquet(f"{self.root}/gen={e.generation}")
+        return self.spark.read.parquet(f"{self.root}/{e.directory}")
 
     def publish(self, pages: DataFrame, txid: int, checksum: int, page_size: int, commit: int, batch: int | None = None, state: dict | None = None) -> Entry:
         """Write the next generation and commit it. A batch that was already committed is not written again."""
@@ -99,24 +124,128 @@ class ImageStore:
         if batch is not None and last is not None and last.batch is not None and last.batch >= batch:
             return last
         n = last.generation + 1 if last else 0
-        self.files.delete(f"gen={n}")  # a crash's left-over; committed generations are below n
-        pages.write.parquet(f"{self.root}/gen={n}")
-        e = Entry(n, txid, checksum, page_size, commit, batch, state or {})
-        self.files.create(f"log/{n:020d}.json", json.dumps(asdict(e)))
+        directory = f"gen={n}-{uuid.uuid4().hex[:12]}"
+        pages.write.parquet(f"{self.root}/{directory}")
+        e = Entry(n, txid, checksum, page_size, commit, batch, state or {}, directory)
+        try:
+            self.files.create(f"log/{n:020d}.json", e.text())
+        except StoreError:
+            self.files.delete(directory)  # another writer was first; this one's data were never visible
+            raise
         return e
 
+    def begin(self, page_size: int) -> Staged:
+        return Staged(self, page_size)
+
+    def acquire(self, generation: int | None = None) -> Lease:
+        """A hold on a generation, by default the current one; while it lasts, `expire` leaves its directory alone."""
+        e = self.current() if generation is None else self.entry(generation)
+        if e is None:
+            raise StoreError("DatabaseMissing")
+        lease = Lease(self, e, f"lease/{e.generation:020d}.{uuid.uuid4().hex[:12]}")
+        self.files.create(lease.name, "")
+        if e.directory not in self.files.names(""):
+            lease.release()
+            raise StoreError("GenerationExpired")
+        return lease
+
+    def leased(self) -> set[int]:
+        return {int(n[:20]) for n in self.files.names("lease") if n[:20].isdigit()}
+
     def recover(self) -> list[str]:
         """Remove what no entry stands for: directories of uncommitted generations and unfinished files. Returns their names."""
-        known = {f"gen={n}" for n in self.entries()}
-        gone = [n for n in self.files.names("") if n.startswith("gen=") and n not in known]
-        gone += [f"log/{n}" for n in self.files.names("log") if n.endswith(".part")]
+        gone = [name for name, n, of in self._directories() if name != of]
+        gone += [f"{d}/{n}" for d in ("log", "lease") for n in self.files.names(d) if n.endswith((".part", ".claim"))]
         for n in gone:
             self.files.delete(n)
         return gone
 
     def expire(self, keep: int = 1) -> list[int]:
-        """Drop the directories of all but the newest generations; their entries stay as history."""
-        old = [n for n in self.entries()[: -keep or None] if f"gen={n}" in self.files.names("")]
-        for n in old:
-            self.files.delete(f"gen={n}")
-        return old
+        """Drop the directories of all but the newest and the leased generations; their entries stay as history."""
+        newest, held, old = set(self.entries()[-keep:] if keep else []), self.leased(), []
+        for name, n, of in self._directories():
+            if name == of and n not in held and n not in newest:
+                self.files.delete(name)
+                old.append(n)
+        return sorted(old)
+
+    def _directories(self) -> list[tuple[str, int | None, str | None]]:
+        """(name, number, directory that the number's entry names) of each generation's directory."""
+        known, out = set(self.entries()), []
+        for name in self.files.names(""):
+            if name.startswith("gen="):
+                n = name[4:].split("-")[0]
+                n = int(n) if n.isdigit() else None
+                out.append((name, n, self.entry(n).directory if n in known else None))
+        return out
+
+
+@dataclass
+class Lease:
+    store: ImageStore
+    entry: Entry
+    name: str
+
+    def read(self) -> DataFrame:
+        return self.store.read(self.entry.generation)
+
+    def release(self) -> None:
+        self.store.files.delete(self.name)
+
+
+class Staged:
+    """A staged apply: pages are laid over the current image, checked, and published as one generation, or not at all."""
+
+    def __init__(self, store: ImageStore, page_size: int):
+        self.store, self.page_size, self.state = store, page_size, "open"
+        self.base = store.current()
+        if self.base is not None and self.base.page_size != page_size:
+            raise StoreError("PageSizeMismatch")
+        self.image: DataFrame | None = store.read(self.base.generation) if self.base else None
+        self.txid, self.commit = (self.base.txid, self.base.commit) if self.base else (0, 0)
+
+    def stage(self, pages: DataFrame, min_txid: int, max_txid: int, commit: int, snapshot: bool = False) -> None:
+        """Lay one transition's pages (page_number, data, page_checksum) over the image. It must continue the last one; a
+        snapshot may replace the image whatever that was."""
+        from pagelog.operators import merge
+
+        if self.state != "open":
+            raise StoreError("SessionClosed")
+        if not (snapshot and min_txid == 1) and min_txid != self.txid + 1:
+            raise StoreError("NonContiguousTransition")
+        cols = [c for c in pages.columns if c != "page_number"]
+        base = pages.limit(0) if snapshot or self.image is None else self.image
+        self.image = merge.apply_overlay(base, pages, commit, cols)
+        self.txid, self.commit = max_txid, commit
+
+    def publish(self, checksum: int | None = None) -> Entry:
+        """Verify the image against a database checksum, if one is given, and commit it. A failed check aborts.
+
+        If the commit's outcome is unknown, the session is indeterminate: `settle` reads the log back.
+        """
+        from pagelog.operators import merge
+
+        if self.state != "open" or self.image is None:
+            raise StoreError("SessionClosed")
+        if checksum is not None:
+            got = merge.database_checksum(self.image, page_size=self.page_size).first()[0]
+            if got != checksum:
+                self.state = "aborted"
+                raise StoreError("DatabaseChecksumMismatch")
+        self.state = "indeterminate"
+        self.entry = self.store.publish(self.image, self.txid, checksum or 0, self.page_size, self.commit)
+        self.state = "published"
+        return self.entry
+
+    def settle(self) -> Entry | None:
+        """After an indeterminate publication: the entry if it is in the log, else None and the session is aborted."""
+        now = self.store.current()
+        if now is not None and now.txid == self.txid and (self.base is None or now.generation > self.base.generation):
+            self.state = "published"
+            return now
+        self.abort()
+        return None
+
+    def abort(self) -> None:
+        if self.state in ("open", "indeterminate"):
+            self.state, self.image = "aborted", None

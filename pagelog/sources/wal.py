@@ -57,8 +57,8 @@ def header(data: bytes) -> WalHeader:
 class Frames:
     """Valid frames of a log from a frame boundary on: (index, page, commit, offset, page bytes); ``stop`` says why they end."""
 
-    def __init__(self, data: bytes, offset: int = 0):
-        self.data, self.head, self.stop = data, header(data), ""
+    def __init__(self, data: bytes, offset: int = 0, max_pages: int = (1 << 32) - 1):
+        self.data, self.head, self.stop, self.max_pages = data, header(data), "", max_pages
         step = FRAME.size + self.head.page_size
         self.index, self.sums = 0, self.head.sums
         if offset:
@@ -90,16 +90,19 @@ class Frames:
                     return
                 if not page:
                     raise WalError("InvalidPageNumber")
+                if max(page, commit) > self.max_pages:
+                    raise WalError("PageLimitExceeded")
                 self.sums = sums
                 self.index += 1
                 yield self.index - 1, page, commit, at, body
 
 
-def salts(data: bytes) -> list[tuple[int, int]]:
-    """Distinct salts of all whole frames in the order first seen; sums are not looked at."""
+def salts(data: bytes, until: tuple[int, int] | None = None) -> list[tuple[int, int]]:
+    """Distinct salts of all whole frames in the order first seen, up to and with ``until``; sums are not looked at."""
     h = header(data)
     step = FRAME.size + h.page_size
-    return list(dict.fromkeys(FRAME.unpack_from(data, at)[2:4] for at in range(HEADER.size, len(data) - step + 1, step)))
+    found = list(dict.fromkeys(FRAME.unpack_from(data, at)[2:4] for at in range(HEADER.size, len(data) - step + 1, step)))
+    return found[: found.index(until) + 1] if until in found else found
 
 
 def build(pages: list[tuple[int, int, bytes]], page_size: int, salt: tuple[int, int] = (1, 2), big_endian: bool = True, sequence: int = 0) -> bytes:
@@ -114,7 +117,7 @@ def build(pages: list[tuple[int, int, bytes]], page_size: int, salt: tuple[int,
     return b"".join(out)
 
 
-def _frames(offset: int):
+def _frames(offset: int, max_pages: int):
     names = [c.split()[0] for c in FRAMES.split(", ")]
 
     def batch(path: str, f: Frames, rows: list) -> pa.RecordBatch:
@@ -128,7 +131,7 @@ def _frames(offset: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-                f, rows = Frames(content.as_py(), offset), []
+                f, rows = Frames(content.as_py(), offset, max_pages), []
                 for row in f:
                     rows.append(row)
                     if len(rows) == 256:
@@ -140,9 +143,39 @@ def _frames(offset: int):
     return run
 
 
-def read_frames(spark: SparkSession, path: str, offset: int = 0) -> DataFrame:
+def read_frames(spark: SparkSession, path: str, offset: int = 0, max_pages: int = (1 << 32) - 1) -> DataFrame:
     """Valid frames of every log under ``path``; from a byte offset on if given, which must be the end of a frame."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_frames(offset), FRAMES)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_frames(offset, max_pages), FRAMES)
+
+
+def read_head(spark: SparkSession, path: str, offset: int = 0) -> WalHeader | None:
+    """The header of one log; None if there is no log, or if the frame that should end at ``offset`` is not of its segment.
+
+    With an offset, ``sums`` are those of the frame that ends there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                try:
+                    f = Frames(content.as_py(), offset)
+                    h = f.head
+                    row = [int(h.big_endian), h.page_size, h.sequence, h.salt_1, h.salt_2, *f.sums, None]
+                except WalError as e:
+                    row = [None] * 7 + [str(e)]
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.string() if k == 7 else pa.int64()) for k, v in enumerate(row)], names=list("abcdefgh"))
+
+    from pagelog.sources.store import Files
+
+    folder, _, name = path.rpartition("/")
+    if name not in Files(spark, folder).names(""):
+        return None
+    r = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"{c} bigint" for c in "abcdefg") + ", h string").first()
+    if r.h in ("InvalidOffset", "PreviousFrameMismatch") and offset:
+        return None
+    if r.h:
+        raise WalError(r.h)
+    return WalHeader(bool(r.a), r.b, r.c, r.d, r.e, (r.f, r.g))
 
 
 def _logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

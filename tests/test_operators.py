@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pagelog.functions import exprs
 from pagelog.operators import catalog, merge, prefix, validate
+from pagelog.sources import scratch
 
 INFO = "level int, min_txid bigint, max_txid bigint, size_bytes bigint, created_at_ms bigint"
 
@@ -28,13 +29,14 @@ L0 = ((0, 1, 1), (0, 2, 2), (0, 3, 3))
         (((0, 1, 1), (0, 2, 2), (0, 4, 4), (1, 1, 2)), 2, [(1, 1, 2)]), (((0, 4, 4), (9, 1, 1), (9, 1, 3)), 0, [(9, 1, 3), (0, 4, 4)]), (((0, 4, 4), (9, 1, 1), (9, 1, 3)), 1, [(9, 1, 1)]),
     ],
 )
-def test_restore_plans(spark, rows, target, want):
+@pytest.mark.parametrize("local", [0, catalog.LOCAL_STEPS])
+def test_restore_plans(spark, rows, target, want, local):
     df = files(spark, *rows)
     if isinstance(want, str):
         with pytest.raises(catalog.PlanError, match=want):
-            catalog.restore_plan(df, target)
+            catalog.restore_plan(df, target, local=local)
     else:
-        assert plan(catalog.restore_plan(df, target)) == want
+        assert plan(catalog.restore_plan(df, target, local=local)) == want
 
 
 def greedy(rows, target):
@@ -54,7 +56,14 @@ def greedy(rows, target):
     return out
 
 
-def test_restore_plan_equals_the_greedy_walk(spark):
+def test_plan_capacity(spark):
+    assert len(plan(catalog.restore_plan(files(spark, *L0), max_files=3))) == 3
+    with pytest.raises(catalog.PlanError, match="PlanCapacityExceeded"):
+        catalog.restore_plan(files(spark, *L0), max_files=2)
+
+
+@pytest.mark.parametrize("local", [0, catalog.LOCAL_STEPS])
+def test_restore_plan_equals_the_greedy_walk(spark, local):
     r = random.Random(3)
     for _ in range(3):
         rows = {(9, 1, r.randint(1, 10))} | {(lv, lo, lo + r.randint(0, w)) for lv, w in ((0, 0), (1, 4), (2, 9)) for lo in r.sample(range(1, 40), 18)}
@@ -62,13 +71,13 @@ def test_restore_plan_equals_the_greedy_walk(spark):
         want = greedy(sorted(rows), target)
         if isinstance(want, str):
             with pytest.raises(catalog.PlanError, match=want):
-                catalog.restore_plan(files(spark, *rows), target)
+                catalog.restore_plan(files(spark, *rows), target, local=local)
         else:
-            assert plan(catalog.restore_plan(files(spark, *rows), target)) == want
+            assert plan(catalog.restore_plan(files(spark, *rows), target, local=local)) == want
 
 
 def test_walk_by_joins(spark):
-    catalog.shared_checkpoint(spark)
+    scratch.set_checkpoint_dir(spark)
     steps = spark.createDataFrame([(k, k + 3) for k in range(0, 60)], "reach bigint, max_txid bigint")
     want = {0, *range(3, 63, 3)}
     assert {r.reach for r in catalog.walk(steps, 0, local=5).collect()} == want == {r.reach for r in catalog.walk(steps, 0).collect()}
