@@ -2,50 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelog.sources.scratch import cut, drop, path as scratch_path, shared_dir, table  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: A word is a run of characters that are none of the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Only where it is unset and the master is one local process does the library make its own.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="pagelog-"))
-    return _own_dir[0]
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/pagelog-{tag}-{uuid.uuid4().hex[:12]}"
-
-
-def table(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write ``df`` once to the shared folder and read it back: a cut of the lineage that outlives executors."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    return table(df, tag)[0]
-
 
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have (names are compared without case)."""
@@ -55,20 +22,38 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def with_rids(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` and a number for each row, stored: the numbers are the same in every later scan, however files are split.
+#: Input files whose names the driver numbers at most.
+FILES = 1_000_000
 
-    Returns the stored table and the name of the added column, which none of ``docs`` has.
-    """
-    name = fresh(docs, "__rid")
-    return cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
+def _scans_files(df: DataFrame) -> bool:
+    """Whether a table is one scan of files, each row of theirs once, always the same ones."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table once nothing reads it any more."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+def with_rids(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and a number for each row that is the same in every later scan, however files are split.
+
+    Rows of one scan of files are numbered by file and place in it; any other table is stored with its numbers. Returns the
+    table and the name of the added column, which none of ``docs`` has.
+    """
+    name, at, place = fresh(docs, "__rid"), fresh(docs, "__file"), fresh(docs, "__place")
+    rows, files = docs, []
+    if _scans_files(docs):
+        try:
+            rows = docs.select("*", F.col("_metadata.file_path").alias(at), F.col("_metadata.row_index").alias(place))
+            files = [r[0] for r in rows.select(at).distinct().limit(FILES + 1).collect()]
+        except AnalysisException:  # files of a format that has no row numbers
+            files = []
+    if not files or len(files) > FILES:
+        return cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+    known = fresh(docs, "__named")
+    number = docs.sparkSession.createDataFrame([(f, k) for k, f in enumerate(sorted(files))], f"`{known}` string, `{name}` long")
+    rows = rows.join(F.broadcast(number), F.col(at) == F.col(known))  # one row a file
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col(name) * F.lit(1 << 40) + F.col(place)).alias(name)), name
 
 
 def lower_az(text: str | Column) -> Column:
