@@ -77,13 +77,6 @@ def salts_until(spark, d):
     return census.join(until, F.col("first_frame") <= F.col("u")).drop("u")
 
 
-@_query("resume_scan", "SELECT count(*) AS frames, CAST(sum(size) AS BIGINT) AS bytes FROM frames WHERE frame_index >= (SELECT max(frame_index) + 1 FROM frames) // 2", _F)
-def resume_scan(spark, d):
-    f = T.frames(spark, d)
-    half = F.broadcast(f.agg(F.floor((F.max("frame_index") + 1) / 2).alias("k")))
-    return f.join(half, F.col("frame_index") >= F.col("k")).agg(F.count("*").alias("frames"), F.sum("size").alias("bytes"))
-
-
 @_query("commit_end", f"SELECT {_COMMIT} AS commit_pages, {_LAST} AS last_frame, 32 + ({_LAST} + 1) * (24 + 4096) AS end_offset, count(*) AS frame_count FROM frames", _F)
 def commit_end(spark, d):
     at = F.when(F.col("commit_pages") > 0, F.col("frame_index"))
@@ -350,16 +343,18 @@ def covered_snapshots(spark, d):
     return catalog.covered_snapshots(f, newest.min_txid, newest.max_txid).select("level", "min_txid", "max_txid")
 
 
-@_query("source_after", "SELECT min_txid, max_txid FROM files WHERE level = 0 AND min_txid >= (SELECT min(min_txid) FROM files WHERE level = 0 AND max_txid > (SELECT max(max_txid) FROM files WHERE level = 2))", _C)
+@_query("source_after", "SELECT min_txid, max_txid FROM files WHERE level = 0 AND min_txid >= (SELECT min(min_txid) FROM files WHERE level = 0 AND max_txid > (SELECT max(max_txid) // 2 FROM files WHERE level = 2))", _C)
 def source_after(spark, d):
     f = T.files(spark, d)
-    covered = f.where("level = 2").agg(F.max("max_txid")).first()[0]
+    covered = f.where("level = 2").agg(F.floor(F.max("max_txid") / 2)).first()[0]
     return catalog.source_after(f.where("level = 0"), covered).select("min_txid", "max_txid")
 
 
 @_query("batch_due", "SELECT level, count(*) >= 10 AS due FROM files GROUP BY level", _C)
 def batch_due(spark, d):
-    return T.files(spark, d).groupBy("level").agg((F.count("*") >= 10).alias("due"))
+    f = T.files(spark, d)
+    levels = [r.level for r in f.select("level").distinct().collect()]  # ten at most
+    return spark.createDataFrame([(lv, catalog.batch_due(f.where(F.col("level") == lv), 10)) for lv in levels], "level int, due boolean")
 
 
 @_query("level_totals", "SELECT level, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, max(max_txid) AS reach FROM files GROUP BY level", _C)
@@ -378,3 +373,6 @@ def order_overlay(spark, d):
     top = T.read(spark, d, "orders").agg(F.max("o_orderkey")).first()[0]
     delta = T.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page_number")).agg(F.max("l_extendedprice").alias("payload"))
     return merge.apply_overlay(base, delta, top, ["payload"])
+
+
+from pagelog.plans import binary  # noqa: E402, F401  (registers its queries here)
