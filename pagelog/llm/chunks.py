@@ -10,35 +10,40 @@ import re
 from collections.abc import Callable, Iterable
 
 MARK = "▁"
-#: Distinct chunks, and characters in them, that a table holds at most.
-ENTRIES, CHARACTERS = 500_000, 16_000_000
+#: Bytes that each half of a table holds, and what an entry takes besides its contents.
+HELD, ENTRY = 32 << 20, 190
 #: Longer chunks are worked out anew each time.
 LONG = 256
 
 
-class Table(dict):
-    """Chunk -> value, never None; `work` gets the missing chunks of a batch at once, each distinct one once."""
+class Table:
+    """Chunk -> value, never None; ``work`` gets the missing chunks of a batch at once, each distinct one once.
 
-    def __init__(self, work: Callable[[list[str]], Iterable], entries: int = ENTRIES):
-        super().__init__()
-        self.work, self.entries, self.characters, self.held = work, entries, entries * (CHARACTERS // ENTRIES), 0
+    It has two halves of bounded size: when the new half is full, it replaces the old one, and what is still asked for moves
+    over. ``weigh`` tells the bytes of a value.
+    """
+
+    def __init__(self, work: Callable[[list[str]], Iterable], held: int = HELD, weigh: Callable[[object], int] = lambda v: 24):
+        self.work, self.held, self.weigh, self.size, self.new, self.old = work, held, weigh, 0, {}, {}
 
     def of(self, parts: list[str]) -> list:
         """The value of each chunk, by position."""
-        out = list(map(self.get, parts))
+        out = list(map(self.new.get, parts))
         gone = [k for k, v in enumerate(out) if v is None]
         if not gone:
             return out
-        new = list({parts[k] for k in gone})
-        if len(self) + len(new) > self.entries or self.held > self.characters:
-            self.clear()
-            self.held = 0
-        made = dict(zip(new, self.work(new)))
-        short = made if len(max(new, key=len)) <= LONG else {p: v for p, v in made.items() if len(p) <= LONG}
-        self.update(short)
-        self.held += sum(map(len, short))
+        missing = list(dict.fromkeys([parts[k] for k in gone]))
+        found = list(map(self.old.get, missing))
+        fresh = iter(self.work([p for p, v in zip(missing, found) if v is None]))
+        made = {p: next(fresh) if v is None else v for p, v in zip(missing, found)}
         for k in gone:
             out[k] = made[parts[k]]
+        for lo in range(0, len(missing), 512):
+            if self.size >= self.held:
+                self.old, self.new, self.size = self.new, {}, 0
+            some = {p: made[p] for p in missing[lo : lo + 512] if len(p) <= LONG}
+            self.new.update(some)
+            self.size += ENTRY * len(some) + sum(map(len, some)) + sum(map(self.weigh, some.values()))
         return out
 
 

@@ -14,6 +14,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -206,7 +207,7 @@ class Merger:
         return s, q, r, m, bar
 
     def table(self) -> chunks.Table:
-        return chunks.Table(self._worked)
+        return chunks.Table(self._worked, held=64 << 20)
 
     def _worked(self, parts: list[str]) -> Iterator[int]:
         mark = chunks.MARK
@@ -236,13 +237,11 @@ def _counted(path: str | None, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, table = _loaded(path or default_model())
         for b in batches:
-            texts = b.column(1).to_pylist()
-            n = []
-            for lo in range(0, len(texts), 512):
-                parts = [chunks.marked(t or "") for t in texts[lo : lo + 512]]
+            n, size = [], pa.compute.binary_length(b.column(1).cast(pa.binary())).fill_null(0).to_pylist()
+            for lo in range(0, b.num_rows, 256):
+                parts = [chunks.marked(t or "") for t in b.column(1).slice(lo, 256).to_pylist()]
                 known = iter(table.of([p for ps in parts for p in ps]))
                 n += [sum(islice(known, len(ps))) for ps in parts]
-            size = [len((t or "").encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return run

@@ -7,9 +7,10 @@ the model is loaded), so each distinct marked word is segmented once per table a
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,6 @@ from pagelog.llm import chunks
 
 #: Chunks segmented in one call of the library.
 JOIN = 256
-#: Distinct chunks whose ids a worker holds.
-ENTRIES = 300_000
 
 
 def default_model(name: str = "piece_bpe_32k.model") -> str:
@@ -45,10 +44,10 @@ class Codec:
         self.end = self.sp.eos_id()
         self.marks = np.array([p[:1] == mark for p in pieces])
         self.mark_id = pieces.index(mark) if mark in pieces else -1
-        self.table = chunks.Table(self._segment, ENTRIES)
+        self.table = chunks.Table(self._segment, held=48 << 20, weigh=lambda v: 140 + len(v[0]) + len(v[1]))
 
-    def _segment(self, parts: list[str]) -> list[tuple[list[int], str]]:
-        """(ids, the same in decimal) of each chunk.
+    def _segment(self, parts: list[str]) -> list[tuple[bytes, str]]:
+        """(ids as 4-byte numbers, the same in decimal) of each chunk.
 
         Chunks with one mark are segmented as one text: where a piece starts with a mark, a chunk starts.
         """
@@ -64,7 +63,7 @@ class Codec:
             at = np.flatnonzero(self.marks[ids]).tolist()
             for k, i, j in zip(group, at, [*at[1:], len(ids)]):
                 out[k] = ids[i + (parts[k][0] == "\n") : j]
-        return [(tuple(ids), " ".join(map(str, ids))) for ids in out]
+        return [(array("i", ids).tobytes(), " ".join(map(str, ids))) for ids in out]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """(ids, ids in decimal joined by one space) of each text."""
@@ -73,13 +72,13 @@ class Codec:
                 ids = [*self.sp.encode(t), self.end]
                 yield ids, " ".join(map(str, ids))
             return
-        end = ((self.end,), str(self.end))
+        end = (array("i", [self.end]).tobytes(), str(self.end))
         for lo in range(0, len(texts), 64):
             several = [chunks.marked(t) for t in texts[lo : lo + 64]]
             known = iter(self.table.of([p for parts in several for p in parts]))
             for parts in several:
                 got = [*islice(known, len(parts)), end]
-                yield list(chain.from_iterable([g[0] for g in got])), " ".join([g[1] for g in got])
+                yield array("i", b"".join([g[0] for g in got])).tolist(), " ".join([g[1] for g in got])
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
@@ -94,12 +93,12 @@ def _coded(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path or default_model())
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
             n, ids_sha, text_sha = [], [], []
-            for ids, decimal in c.encode(texts):
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(decimal.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
+            for lo in range(0, b.num_rows, 256):
+                for ids, decimal in c.encode([t or "" for t in b.column(1).slice(lo, 256).to_pylist()]):
+                    n.append(len(ids))
+                    ids_sha.append(hashlib.sha256(decimal.encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run

@@ -41,10 +41,8 @@ LEVEL = 3
 ROW = 1 << 20
 #: Rows of a file, the last one its tables; so a file holds about as many MiB, and no reader holds more.
 ROWS = 64
-#: Bytes of text that are encoded together, and of words and their ids that each half of a worker's table holds.
-SLICE, HELD = 1 << 22, 32 << 20
-#: Words encoded as one text, and what one entry of a table takes besides its contents.
-JOIN, ENTRY = 64, 190
+#: Bytes of text that are encoded together, and words encoded as one text.
+SLICE, JOIN = 1 << 22, 64
 
 
 def default_tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -118,36 +116,6 @@ def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-class Words:
-    """What distinct words become, in two halves of bounded size: when the new half is full, it replaces the old one.
-
-    It lives in a Python worker and only saves work: any word can be worked out again.
-    """
-
-    def __init__(self, work, held: int = HELD):
-        self.work, self.held, self.size, self.new, self.old = work, held, 0, {}, {}
-
-    def of(self, parts: list[str]) -> list[bytes]:
-        """The value of each of some distinct words."""
-        out = list(map(self.new.get, parts))
-        gone = [k for k, v in enumerate(out) if v is None]
-        if not gone:
-            return out
-        missing = [parts[k] for k in gone]
-        found = list(map(self.old.get, missing))
-        fresh = iter(self.work([p for p, v in zip(missing, found) if v is None]))
-        found = [next(fresh) if v is None else v for v in found]
-        for k, v in zip(gone, found):
-            out[k] = v
-        for lo in range(0, len(gone), 512):
-            if self.size >= self.held:
-                self.old, self.new, self.size = self.new, {}, 0
-            some = {p: v for p, v in zip(missing[lo : lo + 512], found[lo : lo + 512]) if len(p) <= chunks.LONG}
-            self.new.update(some)
-            self.size += ENTRY * len(some) + sum(map(len, some)) + sum(map(len, some.values()))
-        return out
-
-
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them without added special tokens.
 
@@ -170,7 +138,7 @@ class Encoder:
         # The same vocabulary and merges cut at spaces only, for words that the pattern would leave whole.
         self.bare = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": None}))
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.table = Words(self._worked)
+        self.table = chunks.Table(self._worked, weigh=len)
 
     def _ids(self, texts: list[str]) -> Iterator[bytes]:
         for lo in range(0, len(texts), 1024):

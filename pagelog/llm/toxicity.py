@@ -11,6 +11,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from zlib import crc32
 
 import numpy as np
@@ -66,7 +67,15 @@ class Model:
     constant: float | None = None
 
     def of_words(self, words: list[str]) -> list[float]:
-        return [float(self.weights[features(w)].sum()) for w in words]
+        of = self.plain.__getitem__
+        return [sum(map(of, features(w))) for w in words]
+
+    @cached_property
+    def plain(self) -> list[float]:
+        return self.weights.tolist()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "plain"}
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
@@ -152,12 +161,11 @@ def held_out(doc_id: F.Column) -> F.Column:
 def _scored(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        table = chunks.Table(m.of_words)
+        table = chunks.Table(m.of_words, held=64 << 20)
         for b in batches:
             score, start, end, worst = [], [], [], []
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for lo in range(0, len(texts), 64):
-                several = [t.lower() for t in texts[lo : lo + 64]]
+            for lo in range(0, b.num_rows, 64):
+                several = [(t or "").lower() for t in b.column(1).slice(lo, 64).to_pylist()]
                 spans = [sentences(t) for t in several]
                 words = [[set(t[i:j].split()) for i, j in ss] for t, ss in zip(several, spans)]
                 known = dict.fromkeys(w for ws in words for s in ws for w in s)
@@ -189,10 +197,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def _clean(model, at: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = _scored(model)
-        for b in batches:
-            narrow = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(at).cast(pa.string())], names=["doc_id", "text"])
-            got = next(iter(one(iter([narrow]))))
+        held: list[pa.RecordBatch] = []
+
+        def narrow() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                held.append(b)
+                yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(at).cast(pa.string())], names=["doc_id", "text"])
+
+        for got in _scored(model)(narrow()):  # one batch for each, with one table for all
+            b = held.pop()
             yield b.filter(pa.array([s < THRESHOLD for s in got.column(1).to_pylist()], pa.bool_()))
 
     return run
