@@ -154,8 +154,8 @@ def test_encoder_equals_the_library():
     texts += ["".join(r.choices("ab  c'd\n\n é×÷ɏɐñ .,!12\u0301²ª\u2019", k=r.randint(0, 60))) for _ in range(800)]
     texts += [" ".join(r.choices(["Don't", "naïve", "1984", "x1y", "end.", "(a)", "“q”", "ÿÀ", "\n", "a\nb", "", "<|endoftext|>"], k=r.randint(0, 20))) for _ in range(400)]
     want = [tk.encode(t, add_special_tokens=False).ids for t in texts]
-    for held in (tokenfile.HELD, 1, 5000):  # what a table forgets is worked out again
-        e.table = tokenfile.Words(e._worked, held)
+    for held in (chunks.HELD, 1, 5000):  # what a table forgets is worked out again
+        e.table = chunks.Table(e._worked, held, len)
         for lo in range(0, len(texts), 300):
             got = e.encode(pa.array(["", *texts[lo : lo + 300]], pa.string()).slice(1))
             assert [np.frombuffer(g, e.dtype).tolist() for g in got] == want[lo : lo + 300]
@@ -388,10 +388,14 @@ def test_token_counts(docs, none, clashing):
 
 
 def test_tables_forget_and_still_answer():
-    t = chunks.Table(lambda parts: [p.upper() for p in parts], entries=3)
-    for parts in (["a", "b"], ["c", "a", "d"], ["a" * 300, "e"], list("fghij")):
+    asked = []
+    t = chunks.Table(lambda parts: [asked.append(p) or p.upper() for p in parts], held=3 * chunks.ENTRY, weigh=len)
+    for parts in (["a", "b", "a"], ["c", "a", "d"], ["a" * 300, "e"], list("fghij"), ["a", "j"]):
         assert t.of(parts) == [p.upper() for p in parts]
-    assert len(t) <= 5 and "a" * 300 not in t
+    assert asked.count("b") == 1 and "a" * 300 not in t.new and "a" * 300 not in t.old
+    for k in range(5000):
+        assert t.of([f"x{k}"]) == [f"X{k}"]
+    assert len(t.new) + len(t.old) <= 8
 
 
 # 5
@@ -539,6 +543,21 @@ def test_quality(docs, none, clashing):
     assert quality.judge(none).count() == 0 and quality.keep(none).count() == 0
 
 
+def test_keep_and_drop_odd_rows(docs, clashing):
+    """Rows that stay are whole rows of the input, as often as they stand there; nulls are empty texts."""
+    kept = {r.doc_id for r in quality.judge(docs).where("kept").collect()}
+    for df in (docs, clashing):
+        out = quality.keep(df)
+        assert out.columns == df.columns and {r.doc_id for r in out.collect()} == kept
+    model = toxicity.fit(["good words here", "zzbad words here"] * 20, [0, 1] * 20)
+    scores = Counter((r.doc_id, r.predicted) for r in toxicity.score(docs, model).collect())
+    for df in (docs, clashing):
+        out = toxicity.drop_toxic(df, model)
+        assert out.columns == df.columns
+        assert Counter(r.doc_id for r in out.collect()) == Counter({k: n for (k, y), n in scores.items() if not y})
+    assert toxicity.drop_toxic(docs.where("false"), model).count() == 0 and exact.drop_exact_copies(docs.where("false")).count() == 0
+
+
 def test_order_of_rules_changes_no_verdict():
     r = random.Random(8)
     texts = [" ".join(r.choices(["word", "other", "###", "12", "a", "naïve...", "\n"], k=r.randint(0, 200))) for _ in range(120)]
