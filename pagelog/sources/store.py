@@ -3,7 +3,8 @@
 Generation n is a Parquet directory of a name that no other writer has; it exists for readers only once entry n of the log
 names it. Entries are created, never replaced, so of two writers of the same number one fails and neither touches the other's
 data. Each entry carries a checksum of its fields. Readers that need a generation for long hold a lease on it, which keeps
-`expire` away. What a crash leaves behind is a directory that no entry names, which recovery removes. All files go through
+`expire` away. A generation may be a layer over earlier ones: changed pages only, so that publishing costs what changed; every
+LAYERS generations a whole image is due. What a crash leaves behind is a directory that no entry names, which recovery removes. All files go through
 Hadoop's file systems, so any store that Spark reaches will do.
 """
 
@@ -12,10 +13,16 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import asdict, dataclass, field
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagelog.functions import checksums
 
-from pyspark.sql import DataFrame, SparkSession
+
+#: Layers that an image is read from at most.
+LAYERS = 16
 
 
 class StoreError(RuntimeError):
@@ -32,6 +39,8 @@ class Entry:
     batch: int | None = None
     state: dict = field(default_factory=dict)
     directory: str = ""
+    #: Of an image in layers: [directory, pages above this number were wiped beneath it], the whole image first, this one last.
+    layers: list = field(default_factory=list)
 
     def text(self) -> str:
         body = json.dumps(asdict(self), sort_keys=True)
@@ -116,17 +125,46 @@ class ImageStore:
         e = self.current() if generation is None else self.entry(generation)
         if e is None:
             raise StoreError("DatabaseMissing")
-        return self.spark.read.parquet(f"{self.root}/{e.directory}")
+        return self._image(e)
+
+    def _image(self, e: Entry) -> DataFrame:
+        if len(e.layers) < 2:
+            return self.spark.read.parquet(f"{self.root}/{e.directory}")
+        from pagelog.operators import merge
+
+        parts, least, low = [], [], None
+        for k, (directory, above) in reversed(list(enumerate(e.layers))):
+            least.append((k, low))
+            low = above if low is None else min(low, above) if above is not None else low
+            parts.append(self.spark.read.parquet(f"{self.root}/{directory}").withColumn("__layer", F.lit(k).cast("bigint")))
+        rows = reduce(DataFrame.unionByName, parts)
+        least = F.broadcast(self.spark.createDataFrame(least, "__layer bigint, least_after bigint"))  # LAYERS rows at most
+        left = merge.alive(rows.select("page_number", "__layer"), least, "__layer")
+        return rows.join(left, ["page_number", "__layer"]).select(*[c for c in rows.columns if c != "__layer"])
+
+    def room(self) -> bool:
+        """Whether the next generation may be a layer."""
+        last = self.current()
+        return last is not None and max(len(last.layers), 1) < LAYERS
 
-    def publish(self, pages: DataFrame, txid: int, checksum: int, page_size: int, commit: int, batch: int | None = None, state: dict | None = None) -> Entry:
-        """Write the next generation and commit it. A batch that was already committed is not written again."""
+    def publish(self, pages: DataFrame, txid: int, checksum: int, page_size: int, commit: int, batch: int | None = None, state: dict | None = None, above: int | None = None) -> Entry:
+        """Write the next generation and commit it. A batch that was already committed is not written again.
+
+        With ``above``, ``pages`` are a layer: they replace the current image's pages of the same numbers, after those above
+        this number were wiped. Without it, they are the whole image.
+        """
         last = self.current()
         if batch is not None and last is not None and last.batch is not None and last.batch >= batch:
             return last
         n = last.generation + 1 if last else 0
         directory = f"gen={n}-{uuid.uuid4().hex[:12]}"
         pages.write.parquet(f"{self.root}/{directory}")
-        e = Entry(n, txid, checksum, page_size, commit, batch, state or {}, directory)
+        layers = [[directory, None]]
+        if above is not None:
+            if last is None:
+                raise StoreError("DatabaseMissing")
+            layers = [*(last.layers or [[last.directory, None]]), [directory, above]]
+        e = Entry(n, txid, checksum, page_size, commit, batch, state or {}, directory, layers)
         try:
             self.files.create(f"log/{n:020d}.json", e.text())
         except StoreError:
@@ -162,9 +200,11 @@ class ImageStore:
 
     def expire(self, keep: int = 1) -> list[int]:
         """Drop the directories of all but the newest and the leased generations; their entries stay as history."""
-        newest, held, old = set(self.entries()[-keep:] if keep else []), self.leased(), []
+        known, old = self.entries(), []
+        kept = [self.entry(n) for n in {*(known[-keep:] if keep else []), *(self.leased() & set(known))}]
+        needed = {name for e in kept for name, _ in e.layers or [[e.directory, None]]}
         for name, n, of in self._directories():
-            if name == of and n not in held and n not in newest:
+            if name == of and name not in needed:
                 self.files.delete(name)
                 old.append(n)
         return sorted(old)

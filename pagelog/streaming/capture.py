@@ -3,7 +3,8 @@
 Frames (frame_index, page_number, commit_pages, payload columns) arrive in micro-batches. Each batch is cut at its last commit;
 later frames wait, as rows of the store's pending directory, for the batch that commits them. Within a batch every commit
 takes effect in its turn, so the image does not depend on how frames fall into batches. A batch is one generation of the
-store, and its id stands in the commit log, so a batch that runs again after a failure changes nothing.
+store, and its id stands in the commit log, so a batch that runs again after a failure changes nothing. A generation is a layer
+of changed pages while the store has room for layers; the whole image is written only where it has none, or a segment starts.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ class StreamError(RuntimeError):
     """Why a stream cannot go on; the message is the error's name."""
 
 
-def apply_frames(base: DataFrame, frames: DataFrame, payload: list[str]) -> DataFrame:
-    """``base`` (page_number, payload) after the transactions of ``frames``, all of them committed, one after the other.
+def changed(frames: DataFrame, payload: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What the transactions of ``frames``, all of them committed, make of an image, one after the other: the pages
+    (page_number, payload) that they leave, and one row (low): pages of the image above this number are wiped.
 
     A commit of fewer pages wipes those above it, whichever later commit grows the database again.
     """
@@ -33,11 +35,15 @@ def apply_frames(base: DataFrame, frames: DataFrame, payload: list[str]) -> Data
     heads = marked.where("commit_pages > 0").select("input_ordinal", F.col("commit_pages").alias("commit"))
     least = merge.least_commit_after(heads).join(heads, "input_ordinal").select("input_ordinal", F.least("least_after", "commit").alias("least"))
     newest = merge.newest_wins(marked.select("page_number", "frame_index", "input_ordinal"), "frame_index")
-    delta = newest.join(least, "input_ordinal").where("page_number <= least").select("page_number", "frame_index")
-    delta = frames.join(delta, ["page_number", "frame_index"])
-    low = F.broadcast(heads.agg(F.min("commit").alias("__low")))  # one row
-    kept = base.join(delta.select("page_number"), "page_number", "left_anti").join(low, F.col("page_number") <= F.col("__low")).drop("__low")
-    return kept.select("page_number", *payload).unionByName(delta.select("page_number", *payload))
+    left = newest.join(least, "input_ordinal").where("page_number <= least").select("page_number", "frame_index")
+    return frames.join(left, ["page_number", "frame_index"]).select("page_number", *payload), frames.where("commit_pages > 0").agg(F.min("commit_pages").alias("low"))
+
+
+def apply_frames(base: DataFrame, frames: DataFrame, payload: list[str]) -> DataFrame:
+    """``base`` (page_number, payload) after the transactions of ``frames``."""
+    delta, low = changed(frames, payload)
+    kept = base.join(delta.select("page_number"), "page_number", "left_anti").join(F.broadcast(low), F.col("page_number") <= F.col("low")).drop("low")
+    return kept.select("page_number", *payload).unionByName(delta)
 
 
 def _fold(store: ImageStore, batch: DataFrame, number: int, page_size: int, salt: str | None, clock: str | None, snapshot: Callable[[], DataFrame] | None) -> None:
@@ -61,24 +67,32 @@ def _fold(store: ImageStore, batch: DataFrame, number: int, page_size: int, salt
     segments = sorted((frames.groupBy(F.col(salt).cast("string").alias("salt")) if salt else frames.groupBy(F.lit(None).cast("string").alias("salt"))).agg(*picks).collect(), key=lambda r: r.first)
     if not segments:
         return
-    image = store.read() if last is not None else spark.createDataFrame([], StructType([f for f in batch.schema if f.name in ("page_number", *payload)]))
-    commit, end, now, tail = state.get("commit", 0), state.get("end", -1), state.get("salt"), None
+    empty = spark.createDataFrame([], StructType([f for f in batch.schema if f.name in ("page_number", *payload)]))
+    image = store.read() if last is not None else empty
+    layer, commit, end, now, tail = store.room(), state.get("commit", 0), state.get("end", -1), state.get("salt"), None
     for seg in segments:
         own = frames.where(F.col(salt).cast("string").eqNullSafe(seg.salt)) if salt else frames
         if now is not None and seg.salt != now:
             # Frames of another segment do not continue this one; what the old one left uncommitted is void.
             if snapshot is None:
                 raise StreamError("SegmentMissing")
-            image = snapshot().select("page_number", *payload)
+            image, layer = snapshot().select("page_number", *payload), False
         now = seg.salt
         tail = own if seg.end is None else own.where(F.col("frame_index") > seg.end)
         if seg.end is not None:
-            image = apply_frames(image, own.where(F.col("frame_index") <= seg.end), payload)
+            done = own.where(F.col("frame_index") <= seg.end)
+            image = apply_frames(image, done, payload)
             commit, end = seg.commit, seg.end
+    above = None
+    if layer and len(segments) == 1:
+        image, above = empty, (1 << 62)  # nothing committed: nothing changes
+        if segments[0].end is not None:
+            image, low = changed(done, payload)
+            above = int(low.first()[0])
     pending = f"pending/{number:020d}"
     tail.write.mode("overwrite").parquet(f"{store.root}/{pending}")
     new = {"end": int(end), "commit": int(commit), "pending": pending, "salt": now, "clock": state.get("clock")}
-    store.publish(image.select("page_number", *payload), number, 0, page_size, int(commit), batch=number, state=new)
+    store.publish(image.select("page_number", *payload), number, 0, page_size, int(commit), batch=number, state=new, above=above)
     scratch.drop(spark, kept)
 
 

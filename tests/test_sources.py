@@ -258,6 +258,24 @@ def test_streaming_capture(spark, tmp_path):
     assert s.current() == before
 
 
+def test_streams_in_layers(spark, tmp_path, monkeypatch):
+    """Each batch writes what changed; the image is read from its layers, and written whole when they are too many."""
+    monkeypatch.setattr(store, "LAYERS", 3)
+    r = random.Random(9)
+    rows = [(k, r.randint(1, 9), r.choice([0, 2, 5, 9]), k) for k in range(70)]
+    schema, s = "frame_index bigint, page_number bigint, commit_pages bigint, fill int", store.ImageStore(spark, f"file://{tmp_path}/s")
+    for k in range(7):
+        capture._fold(s, spark.createDataFrame(rows[10 * k : 10 * k + 10], schema), k, 512, None, None, None)
+        cut = max((i for i, _, c, _ in rows[: 10 * k + 10] if c), default=-1)
+        want = apply_in_turn(rows[: cut + 1])[0]
+        assert {x.page_number: x.fill for x in s.read().collect()} == want, k
+    assert [len(s.entry(n).layers) for n in s.entries()] == [1, 2, 3, 1, 2, 3, 1]
+    lease = s.acquire(4)
+    assert s.expire() == [0, 1, 2, 5] and lease.read().count() and s.recover() == []
+    lease.release()
+    assert s.expire() == [3, 4] and s.read().count() == len(want)
+
+
 def test_streams_of_several_segments(spark, tmp_path):
     schema = "frame_index bigint, page_number bigint, commit_pages bigint, fill int, salt string"
     old = [(0, 1, 0, 10, "x"), (1, 2, 2, 11, "x"), (2, 1, 0, 12, "x")]  # the last is never committed
