@@ -19,6 +19,10 @@ from pagelog.sources import logfiles, objects, scratch
 from pagelog.sources.store import Files
 
 
+#: Page numbers, 8 bytes each, that are broadcast at most.
+LISTED = 4_000_000
+
+
 class ControlError(RuntimeError):
     """An operation that cannot go on; the message is the error's name."""
 
@@ -214,9 +218,10 @@ class Controller:
 
     def _chain(self, plan: DataFrame) -> Chain:
         """A plan's files, each decoded once and verified: identity, page size, checksum mode, continuity and bounds."""
-        rows = plan.select("level", exprs.file_name("min_txid", "max_txid").alias("name"), "max_txid").orderBy("max_txid").limit(self.bounds.max_files + 1).collect()
+        rows = plan.select("level", exprs.file_name("min_txid", "max_txid").alias("name"), "max_txid").limit(self.bounds.max_files + 1).collect()
         if len(rows) > self.bounds.max_files:
             raise ControlError("PlanCapacityExceeded")
+        rows.sort(key=lambda r: r.max_txid)
         keys = [f"{r.level}/{r.name}" for r in rows]
         paths = logfiles.named_files(self.spark, [f"{self.root}/ltx/{k}" for k in keys])
         order = self.spark.createDataFrame([(k, n, self.versions.get(k, "v3")) for n, k in enumerate(keys)], "key string, input_ordinal bigint, version string")
@@ -244,9 +249,14 @@ class Controller:
         self._fits(heads[-1].commit, heads[-1].page_size)
 
     def _chosen(self, chain: Chain, left: DataFrame) -> DataFrame:
-        """The payloads of chosen versions (page_number, input_ordinal)."""
+        """The payloads of chosen versions (page_number, input_ordinal).
+
+        The lists go to the files by broadcast if the chain has LISTED pages at most, so that no file's bytes are shuffled.
+        """
         lists = left.groupBy("input_ordinal").agg(F.collect_list("page_number").alias("numbers"))  # a file's own pages at most
-        return logfiles.read_chosen(self.spark, chain.files, chain.plan.join(lists, "input_ordinal"), self.limits)
+        plan = chain.plan.join(lists, "input_ordinal")
+        few = sum(r.page_count for r in chain.heads) <= LISTED
+        return logfiles.read_chosen(self.spark, chain.files, F.broadcast(plan) if few else plan, self.limits)
 
     def verify(self, target: int = 0) -> Position:
         """Decode and check all files of a restore without making an image; the position that they reach."""
@@ -268,8 +278,7 @@ class Controller:
         """
 
         def work() -> tuple[Position, DataFrame]:
-            plan = catalog.restore_plan(self.listing().drop("path"), target, self.bounds.max_files)
-            chain = self._chain(plan)
+            chain = self._chain(catalog.restore_plan(self.listing().drop("path"), target, self.bounds.max_files))
             last, commits = chain.last, [r.commit for r in chain.heads]
             if chain.heads[0].min_txid != 1:
                 raise ControlError("NonContiguousTransition")

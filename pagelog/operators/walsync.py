@@ -32,6 +32,10 @@ class Policy:
     max_frames: int = 0
     max_age_ms: int = 0
 
+    def __post_init__(self):
+        if min(self.max_bytes, self.max_frames, self.max_age_ms) < 0:
+            raise CaptureError("InvalidConfiguration")
+
 
 @dataclass(frozen=True)
 class State:
