@@ -1,8 +1,9 @@
 """SimHash near-duplicate groups by tiled exact comparison.
 
 Every fingerprint is compared, exactly, with every other one that could lie within the radius. Distinct fingerprints are
-laid out in tiles by the population counts of their four 16-bit words. Two fingerprints whose counts differ by more than the
-radius in sum cannot link, so such tile pairs are skipped; within the others, numpy takes exclusive-or and counts bits.
+laid out in tiles by the population counts of their four 16-bit words (or eight bytes, where they are very many). Two
+fingerprints whose counts differ by more than the radius in sum cannot link, so such tile pairs are skipped; within the others,
+numpy takes exclusive-or and counts bits.
 A tile is compared in blocks of bounded size, so no task holds more than one block on the left and one batch on the right.
 Each block reports a spanning forest of its links, not the links, and the forests meet in `common.components`.
 """
@@ -10,7 +11,7 @@ Each block reports a spanning forest of its links, not the links, and the forest
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice, product, repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,9 @@ SHINGLE = 3
 BLOCK = 4096
 #: Shingles hashed at a time within one document, and links held before they shrink to a forest.
 STEP, LINKS = 1 << 16, 1 << 20
-_SEGMENTS, _LEVELS = 4, 17
+#: Parts of a fingerprint whose population counts make its tile; beyond MANY distinct fingerprints, FINE parts, as tiles of the
+#: others would be cut into many blocks. Both find the same links.
+SEGMENTS, FINE, MANY = 4, 8, 1 << 26
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> bytes:
@@ -138,28 +141,41 @@ def _compare(radius: int):
     return run
 
 
-def _tile(counts: list) -> F.Column:
-    out = F.lit(0)
-    for c in counts:
-        out = out * F.lit(_LEVELS) + c
-    return out
+def offsets(segments: int, radius: int) -> list[tuple[int, ...]]:
+    """Steps from a tile to those that it meets: at most ``radius`` in sum, each unordered pair of tiles from the tile below."""
+    out = [()]
+    for _ in range(segments):
+        out = [(*o, d) for o in out for d in range(-radius, radius + 1) if sum(map(abs, o)) + abs(d) <= radius]
+    return [o for o in out if o >= (0,) * segments]  # zero, or led by a positive step
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """A spanning forest (a, b) of all links of at most ``radius`` bits between distinct fingerprints (fp long)."""
-    counts = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))) for k in range(_SEGMENTS)]
+def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+    """A spanning forest (a, b) of all links of at most ``radius`` bits between distinct fingerprints (fp long).
+
+    Tiles are the population counts of ``segments`` equal parts of a fingerprint: more parts make smaller tiles, of which each
+    fingerprint meets more. Any number gives the same links.
+    """
+    width = 64 // segments
+    levels, mask = width + 1, (1 << width) - 1
+    counts = [F.bit_count(F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit(mask))) for k in range(segments)]
     tiled = distinct.select("fp", F.array(*counts).alias("pc"))
-    at = lambda o: _tile([F.col("pc")[k] - F.lit(o[k]) for k in range(_SEGMENTS)])
-    inside = lambda o: F.expr(" and ".join(f"pc[{k}] - {o[k]} between 0 and {_LEVELS - 1}" for k in range(_SEGMENTS) if o[k]) or "true")
-    # Each unordered pair of tiles is met once, from the tile below: offsets that are zero or lead with a positive step.
-    reach = [o for o in product(range(-radius, radius + 1), repeat=_SEGMENTS) if sum(map(abs, o)) <= radius and o >= (0,) * _SEGMENTS]
-    # At most 17^4 = 83,521 rows, whatever the input: safe to broadcast.
-    sizes = tiled.groupBy(at((0,) * _SEGMENTS).alias("tile")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    sizes = F.broadcast(sizes)
-    own = tiled.select("fp", at((0,) * _SEGMENTS).alias("tile")).join(sizes, "tile")
-    own = own.select((F.col("tile").cast("long") * (1 << 32) + F.pmod(F.xxhash64("fp"), F.col("blocks"))).alias("unit"), F.lit(0).cast("byte").alias("side"), "fp")
-    met = tiled.select("fp", F.explode(F.filter(F.array(*[F.when(inside(o), at(o)) for o in reach]), lambda t: t.isNotNull())).alias("tile")).join(sizes, "tile")
-    met = met.select((F.col("tile").cast("long") * (1 << 32)).alias("base"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "fp")
+
+    def at(o: tuple[int, ...]) -> Column:
+        out = F.lit(0)
+        for k in range(segments):
+            out = out * F.lit(levels) + (F.col("pc")[k] - F.lit(o[k]))
+        return out
+
+    inside = lambda o: F.expr(" and ".join(f"pc[{k}] - {o[k]} between 0 and {levels - 1}" for k in range(segments) if o[k]) or "true")
+    own_tile = at((0,) * segments)
+    # Tiles that are cut into blocks: with four segments there are at most 17^4 = 83,521, safe to broadcast; else one in BLOCK rows.
+    sizes = tiled.groupBy(own_tile.alias("tile")).agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select("tile", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    sizes = F.broadcast(sizes) if levels**segments <= 100_000 else sizes
+    blocks = F.coalesce("blocks", F.lit(1))
+    own = tiled.select("fp", own_tile.alias("tile")).join(sizes, "tile", "left")
+    own = own.select((F.col("tile").cast("long") * (1 << 32) + F.pmod(F.xxhash64("fp"), blocks)).alias("unit"), F.lit(0).cast("byte").alias("side"), "fp")
+    met = tiled.select("fp", F.explode(F.filter(F.array(*[F.when(inside(o), at(o)) for o in offsets(segments, radius)]), lambda t: t.isNotNull())).alias("tile")).join(sizes, "tile", "left")
+    met = met.select((F.col("tile").cast("long") * (1 << 32)).alias("base"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "fp")
     met = met.select((F.col("base") + F.col("block")).alias("unit"), F.lit(1).cast("byte").alias("side"), "fp")
     dealt = own.union(met).repartition("unit").sortWithinPartitions("unit", "side")
     return dealt.mapInArrow(_compare(radius), "a long, b long")
@@ -169,7 +185,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle:
     """((doc_id, fp, rid) of every row, (fp, root, first_id) of every distinct fingerprint)"""
     fps = common.cut(fingerprints(docs, id_col, text_col, shingle, rid), "fp")
     distinct = common.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = common.components(links(distinct, radius))
+    roots = common.components(links(distinct, radius, SEGMENTS if distinct.count() <= MANY else FINE))
     return fps, distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
 
 

@@ -92,8 +92,10 @@ def test_simhash(docs, none, clashing):
 
 
 @pytest.mark.parametrize("block", [3, 4096])
-def test_links_are_exact(spark, monkeypatch, block):
+@pytest.mark.parametrize("segments", [2, 4, 8])
+def test_links_are_exact(spark, monkeypatch, block, segments):
     monkeypatch.setattr(simhash, "BLOCK", block)
+    assert len(simhash.offsets(segments, 2)) == {2: 7, 4: 21, 8: 73}[segments]
     r = random.Random(block)
     prints = set()
     for _ in range(12):
@@ -104,7 +106,7 @@ def test_links_are_exact(spark, monkeypatch, block):
             x ^= 1 << r.randrange(64)
     prints = sorted(prints)
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in prints], "fp long")
-    got = {x.node % (1 << 64): x.root % (1 << 64) for x in common.components(simhash.links(df)).collect()}
+    got = {x.node % (1 << 64): x.root % (1 << 64) for x in common.components(simhash.links(df, segments=segments)).collect()}
     least, of = naive_groups([(x, x) for x in prints])
     sets = defaultdict(set)
     for k, x in enumerate(prints):
