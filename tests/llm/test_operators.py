@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pagelog.llm import chunks, common, counts, exact, html, lm, mixing, pieces, quality, simhash, tokenfile, toxicity
+from pagelog.llm import chunks, common, counts, exact, html, lm, mixing, near, pieces, quality, simhash, tokenfile, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{k % 997}x" for k in range(30_000))
@@ -143,6 +143,76 @@ def test_near_copies_keep_one(spark, docs, tmp_path):
     assert simhash.drop_near_copies(lone).count() == 1 and simhash.drop_near_copies(lone.where("false")).count() == 0
 
 
+def near_sets(t):
+    w = split(low(t))
+    return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_classes(texts, similarity=0.8, radius=64):
+    """The class of each text by all pairs, straight from the definition."""
+    sets, part, fp = [near_sets(t) for t in texts], list(range(len(texts))), [naive_print(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if len(a & b) >= similarity * len(a | b) and (fp[i] ^ fp[j]).bit_count() <= radius and part[i] != part[j]:
+                old, new = part[i], part[j]
+                part = [new if p == old else p for p in part]
+    return part
+
+
+@pytest.mark.parametrize("many", [1, 4096])
+def test_shared_shingles(monkeypatch, many):
+    monkeypatch.setattr(near, "MANY", many)
+    r = np.random.default_rng(many)
+    for bits in (near.BITS, 1 << 14):
+        monkeypatch.setattr(near, "BITS", bits)
+        u, v = ([np.unique(r.integers(0, 300, int(r.integers(0, 90))).astype(np.uint64)) for _ in range(20)] for _ in range(2))
+        side = lambda sets: near.Side(np.zeros(20, np.uint64), np.arange(20), np.array([len(x) for x in sets]), sets)
+        x, y = map(np.ravel, np.meshgrid(np.arange(20), np.arange(20), indexing="ij"))
+        assert near._shared(side(u), side(v), x, y).tolist() == [len(set(u[i].tolist()) & set(v[j].tolist())) for i, j in zip(x, y)]
+
+
+def test_near_copies_of_five_words(spark, monkeypatch):
+    """Groups as by all pairs, on copies with changed words in chains and stars, with small blocks."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghijkl", k=r.randint(2, 8)))
+    texts = []
+    for g in range(30):
+        base = [word() for _ in range(r.choice([30, 80, 200]))]
+        texts.append(" ".join(base))
+        for _ in range(r.randint(0, 9)):
+            other = list(base)
+            for _ in range(r.choice([0, 1, 1, 2, 6])):
+                other[r.randrange(len(other))] = word()
+            texts.append(" ".join(other).upper() if r.random() < 0.2 else " ".join(other))
+            base = other if g % 2 else base
+    texts += [None, "", " ", "one two", "ONE two", "one two three"]
+    want, within = near_classes(texts), near_classes(texts, radius=near.RADIUS)
+    monkeypatch.setattr(near, "BLOCK", 50)
+    d = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    got = {x.rid: x.label for x in near.classes(common.cut(d, "t")).collect()}
+    assert len(got) == len(texts)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    assert [(i, j) for i, j in pairs if got[i] == got[j]] == [(i, j) for i, j in pairs if within[i] == within[j]]  # all links within the radius
+    assert not [(i, j) for i, j in pairs if got[i] == got[j] and want[i] != want[j]]  # and no false group
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.9 * sum(want[i] == want[j] for i, j in pairs)
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Hundreds of copies of one text, any two of them alike: one class."""
+    r = random.Random(2)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(300):
+        other = list(base)
+        other[r.randrange(120)] = f"x{k}"
+        texts.append(" ".join(other))
+    d = common.cut(spark.createDataFrame(list(enumerate(texts)), "rid long, text string"), "t")
+    assert d.count() == 300 and {x.label for x in near.classes(d).collect()} == {0}
+    out = near.drop_near_copies(d.select(F.col("rid").alias("doc_id"), "text", F.lit(1).alias("rid")))
+    assert [(x.doc_id, x.rid) for x in out.collect()] == [(0, 1)]
+
+
 # 2
 
 
@@ -328,7 +398,7 @@ def test_elements_that_are_no_blocks_end():
     assert html.extract(f'<article><p>{a} <ins class="ad">Buy</ins> {b}</p></article>') == f"{a}\n{b}"
 
 
-@pytest.mark.parametrize("kept", [exact.drop_exact_copies, simhash.drop_near_copies])
+@pytest.mark.parametrize("kept", [exact.drop_exact_copies, simhash.drop_near_copies, near.drop_near_copies])
 def test_rows_stay_when_files_are_split_anew(spark, tmp_path, kept):
     r = random.Random(5)
     texts = [" ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(30)) for _ in range(40)]
@@ -465,7 +535,7 @@ def test_mixing_spreads_a_large_source(spark):
 def test_columns_of_inner_names_stay(spark):
     cols = ["__rid", "__kept", "__taken", "__copies", "__source", "__s", "__id", "rid", "at", "part", "a.b"]
     d = spark.createDataFrame([(k, f"text number {k % 3} goes here", f"s{k % 2}", *[f"{c}{k}" for c in cols]) for k in range(12)], ["doc_id", "text", "source", *cols])
-    for f in (mixing.mix, exact.drop_exact_copies, simhash.drop_near_copies):
+    for f in (mixing.mix, exact.drop_exact_copies, simhash.drop_near_copies, near.drop_near_copies):
         out = f(d)
         assert out.columns == d.columns
         got = out.collect()
