@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelog.llm import common, exact, mixing, pieces, simhash, toxicity
+from pagelog.llm import common, exact, mixing, near, pieces, toxicity
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of fingerprints linked at op1's radius, the smallest doc_id stays; most copies of 5-word Jaccard 0.8 are beyond it (README)."""
-    return simhash.drop_near_copies(docs)
+    """Of each group that links of 0.8 or more of five-word shingles connect, the smallest doc_id stays."""
+    return near.drop_near_copies(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
