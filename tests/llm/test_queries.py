@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelog.llm import oracle, pieces, queries, tokenfile, toxicity
 from tests.duck import same
-from tests.llm.test_operators import low, naive_groups, naive_print, split
+from tests.llm.test_operators import low, naive_groups, naive_print, near_classes, split
 
 
 @pytest.mark.parametrize("name", sorted(oracle.ORACLE))
@@ -161,8 +161,12 @@ def test_pipeline(spark, tmp_path):
         best[low(t)] = max(k, best.get(low(t), -1))
     left = {k: left[k] for k in best.values()}
     assert {x.doc_id for x in seen["exact_dedup"].collect()} == set(left)
-    least, _ = naive_groups([(k, naive_print(t)) for k, t in sorted(left.items())])
+    ids = sorted(left)
+    least = {}
+    for k, group in zip(ids, near_classes([left[k] for k in ids])):
+        least.setdefault(group, k)
     assert {x.doc_id for x in seen["simhash"].collect()} == set(least.values())
+    assert not set(least.values()) & {301 + 2 * k for k in range(20)}  # every near copy went
     mixed = seen["mixing"].collect()
     assert {x.doc_id for x in mixed} <= set(least.values())
     sp = pieces.codec(pieces.default_model()).sp
