@@ -26,7 +26,7 @@ from pagelog.llm import common, exact, simhash
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 12
 #: Bits of the population count that share a tile; nodes of a block; nodes that are compared at a time.
-STEP, BLOCK, LEFT, RIGHT = 4, 16384, 512, 4096
+STEP, BLOCK, LEFT, RIGHT = 4, 4096, 512, 4096
 #: Links held before they shrink to a forest; candidates from which on sets are compared as bits; bits of such a table at most.
 HELD, MANY, BITS = 1 << 20, 4096, 1 << 29
 
@@ -184,20 +184,26 @@ def _links(radius: int, similarity: float):
 
 
 def _units(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """(unit, side, fp, node, size): every node in its own unit, and in those whose block it is compared with."""
+    """(unit, side, fp, node, size): every node on its own side of the units of its block, and on the other of those it meets."""
     reach, far = -(-radius // STEP), 64 // STEP + 1
     band = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
     rows = nodes.select("node", "fp", F.col("size").cast("long").alias("size"), band.alias("band"), F.floor(F.bit_count("fp") / STEP).cast("int").alias("pc"))
     tile = lambda up, d: (F.col("band") - up) * far + F.col("pc") - d
     # Each unordered pair of tiles is met from one of them: the same band and a lower count, or the band below.
     steps = [(0, d) for d in range(reach + 1)] + [(1, d) for d in range(-reach, reach + 1)]
-    sizes = rows.groupBy(tile(0, 0).alias("tile")).agg(F.count("*").alias("c")).select("tile", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    sizes = F.broadcast(sizes)  # a few hundred tiles: logarithms of a text's length, times 17
-    cols = ["fp", "node", "size"]
-    own = rows.withColumn("tile", tile(0, 0)).join(sizes, "tile").select((F.col("tile").cast("long") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("unit"), F.lit(0).cast("byte").alias("side"), *cols)
+    sizes = rows.groupBy("band", "pc").agg(F.count("*").alias("c"))
     fits = [F.when((F.col("pc") - d).between(0, far - 1), tile(up, d)) for up, d in steps]
-    met = rows.withColumn("tile", F.explode(F.filter(F.array(*fits), lambda t: t.isNotNull()))).join(sizes, "tile")
-    met = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select((F.col("tile").cast("long") * (1 << 32) + F.col("block")).alias("unit"), F.lit(1).cast("byte").alias("side"), *cols)
+    met_tiles = F.explode(F.filter(F.array(*fits), lambda t: t.isNotNull())).alias("tile")
+    # A tile's nodes are cut into blocks, and so is all that they meet: a unit is one of these blocks against one of those. The
+    # table has a few hundred rows, logarithms of a text's length times 17, whatever the input.
+    met = sizes.select("c", met_tiles).groupBy("tile").agg(F.ceil(F.sum("c") / F.lit(BLOCK)).alias("others"))
+    sizes = F.broadcast(sizes.select(tile(0, 0).alias("tile"), F.ceil(F.col("c") / F.lit(BLOCK)).alias("blocks")).join(met, "tile"))
+    cols = ["fp", "node", "size"]
+    hashed = lambda n: F.pmod(F.xxhash64("node"), n)
+    unit = lambda i, j: ((F.col("tile").cast("long") * (1 << 20) + i) * (1 << 20) + j).alias("unit")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own = rows.withColumn("tile", tile(0, 0)).join(sizes, "tile").withColumn("j", each(F.col("others"))).select(unit(hashed(F.col("blocks")), F.col("j")), F.lit(0).cast("byte").alias("side"), *cols)
+    met = rows.select(*cols, met_tiles).join(sizes, "tile").withColumn("i", each(F.col("blocks"))).select(unit(F.col("i"), hashed(F.col("others"))), F.lit(1).cast("byte").alias("side"), *cols)
     return own.union(met)
 
 
