@@ -401,7 +401,8 @@ def score(docs: DataFrame, net: Net, frequent: list[bytes], id_col: str = "doc_i
 
 def _whole(rows: DataFrame, net: Net, frequent: list[bytes], counts: DataFrame) -> DataFrame:
     """Scores of a stored table of `coded` rows (with rid), each word by its own probability."""
-    within = rows.select("rid", F.inline("others")).join(shares(counts, frequent), "word").groupBy("rid").agg(F.sum(F.col("times") * F.col("share")).alias("within"))
+    # the table of words is hashed partition by partition: far fewer rows than the texts have, and neither side is sorted
+    within = rows.select("rid", F.inline("others")).join(shares(counts, frequent).hint("shuffle_hash"), "word").groupBy("rid").agg(F.sum(F.col("times") * F.col("share")).alias("within"))
     log_prob = F.col("log_prob") + F.coalesce("within", F.lit(0.0))
     out = score_coded(rows, net).join(within, "rid", "left")
     return out.select("doc_id", "n_words", log_prob.alias("log_prob"), F.when(F.col("n_words") > 0, log_prob / F.col("n_words")).otherwise(0.0).alias("mean_log_prob"))
