@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -230,6 +230,32 @@ def compaction_prefix(source: DataFrame, max_inputs: int, max_bytes: int) -> Dat
     return head.withColumn("running_bytes", F.sum("size_bytes").over(w)).where(F.col("running_bytes") <= max_bytes)
 
 
+def batches(source: list[Row], max_inputs: int, max_bytes: int, most: int, min_files: int = 1, total_bytes: int = 1 << 63, more: bool = False) -> list[list[Row]]:
+    """`compaction_prefix` after `compaction_prefix` of a listing's rows, in order: ``most`` batches of ``total_bytes`` at most.
+
+    The first stands as it is; further ones are given only where all files follow one another and ``min_files`` are left. If
+    there are ``more`` rows than the listing's, a last batch that might take some of them waits.
+    """
+    out: list[list[Row]] = []
+    at = taken = 0
+    while len(out) < most and at < len(source):
+        end, size = at, 0
+        while end < len(source) and end - at < max_inputs and size + source[end].size_bytes <= max_bytes:
+            size += source[end].size_bytes
+            end += 1
+        if end == at:
+            break
+        if out:
+            last = at - len(out[-1])  # where the batch before begins
+            follows = all(b.min_txid == a.max_txid + 1 for a, b in zip(source[last : end - 1], source[last + 1 : end]))
+            cut = more and end == len(source) and end - at < max_inputs
+            if not follows or cut or len(source) - at < min_files or taken + size > total_bytes:
+                break
+        out.append(source[at:end])
+        at, taken = end, taken + size
+    return out
+
+
 def compaction_plan(source: DataFrame, destination: DataFrame, max_inputs: int, max_bytes: int) -> tuple[DataFrame, int]:
     """(files to compact, txid the destination continues from). The first file must start exactly there."""
     if max_inputs < 1 or max_bytes < 1:

@@ -21,6 +21,8 @@ from pagelog.sources.store import Files
 
 #: Page numbers, 8 bytes each, that are broadcast at most.
 LISTED = 4_000_000
+#: Inputs, and bytes of them, that batches compacted together have at most, unless one batch alone has more.
+WAVE, WAVE_BYTES = 4096, 1 << 36
 
 
 class ControlError(RuntimeError):
@@ -180,7 +182,7 @@ class Controller:
             if known < commit:  # only what the database grew by is filled up
                 grown = merge.zero_fill(rows.where(F.col("page_number") > known), commit, page_size, {"data": F.lit(bytes(page_size))}, first=known + 1)
                 rows = rows.where(F.col("page_number") <= known).unionByName(grown) if known else grown
-            self._write(head, rows, 0)
+            self._write([(head, None)], rows.withColumn("input_ordinal", F.lit(0).cast("bigint")), 0)
             self.last_ms = now_ms
             return Position(txid)
 
@@ -198,40 +200,60 @@ class Controller:
         key = "/".join(r.path.split("/")[-2:])
         return logfiles.read_files(self.spark, [r.path], self.versions.get(key, "v3"), self.limits, header_only=True).first().commit
 
-    def _write(self, head: dict, pages: DataFrame, level: int, post: int | None = None) -> int:
-        """Publish one file; the number of its pages."""
-        base = {n: 0 for n in logfiles._HEAD} | head
+    def _write(self, heads: list[tuple[dict, int | None]], pages: DataFrame, level: int) -> list[int]:
+        """Publish a file for each head (fields by name, post checksum) from its pages (input_ordinal: the head's place in the list,
+        page_number, data); the numbers of their pages."""
         schema = "input_ordinal bigint, " + ", ".join(f"{n} {'decimal(20,0)' if n in logfiles._WIDE else 'bigint'}" for n in logfiles._HEAD) + ", post_apply_checksum bigint"
-        row = tuple(Decimal(int(base[n])) if n in logfiles._WIDE else int(base[n]) for n in logfiles._HEAD)
-        heads = self.spark.createDataFrame([(0, *row, post)], schema)
-        files = logfiles.encode_files(heads, pages.select(F.lit(0).cast("bigint").alias("input_ordinal"), "page_number", "data"))
-        # one row: one object, kept apart from the next step, so that a retried write does not lay it out again
+        field = lambda head, n: Decimal(int(head.get(n, 0))) if n in logfiles._WIDE else int(head.get(n, 0))
+        rows = [(k, *[field(head, n) for n in logfiles._HEAD], post) for k, (head, post) in enumerate(heads)]
+        files = logfiles.encode_files(self.spark.createDataFrame(rows, schema), pages.select("input_ordinal", "page_number", "data"))
+        # a row is an object, kept apart from the next step, so that a retried write does not lay it out again
         stored, at = scratch.table(files, "file")
         done = logfiles.publish(stored.select(F.lit(f"ltx/{level}").alias("folder"), "name", "content"), self.root).collect()
-        n = stored.agg(F.sum("page_count"), F.count("*")).first()
+        counts = {r.input_ordinal: r.page_count for r in stored.select("input_ordinal", "page_count").collect()}
         scratch.drop(self.spark, at)
-        if len(done) != 1 or n[1] != 1:
+        if len(done) != len(heads) or sorted(counts) != list(range(len(heads))):
             raise ControlError("IndeterminateOutcome")
-        return int(n[0])
+        return [counts[k] for k in range(len(heads))]
 
     # Restore
 
     def _chain(self, plan: DataFrame) -> Chain:
         """A plan's files, each decoded once and verified: identity, page size, checksum mode, continuity and bounds."""
-        rows = plan.select("level", exprs.file_name("min_txid", "max_txid").alias("name"), "max_txid").limit(self.bounds.max_files + 1).collect()
+        rows = plan.select("level", "min_txid", "max_txid").limit(self.bounds.max_files + 1).collect()
         if len(rows) > self.bounds.max_files:
             raise ControlError("PlanCapacityExceeded")
-        rows.sort(key=lambda r: r.max_txid)
-        keys = [f"{r.level}/{r.name}" for r in rows]
-        paths = logfiles.named_files(self.spark, [f"{self.root}/ltx/{k}" for k in keys])
-        order = self.spark.createDataFrame([(k, n, self.versions.get(k, "v3")) for n, k in enumerate(keys)], "key string, input_ordinal bigint, version string")
+        chain, _, fault = self._chains([rows])
+        if fault:
+            raise fault
+        return chain
+
+    def _chains(self, plans: list[list[Row]]) -> tuple[Chain, list[list[Row]], ControlError | None]:
+        """Plans' files (level, min_txid, max_txid) read together: (one chain of all, the heads of each plan, fault).
+
+        Of plans before one that is not in order, the chain and the heads are returned with that one's fault.
+        """
+        keys = [[f"{r.level}/{int(r.min_txid):016x}-{int(r.max_txid):016x}.ltx" for r in sorted(plan, key=lambda r: r.max_txid)] for plan in plans]
+        flat = [(k, p) for p, some in enumerate(keys) for k in some]
+        paths = logfiles.named_files(self.spark, [f"{self.root}/ltx/{k}" for k, _ in flat])
+        order = self.spark.createDataFrame([(k, n, self.versions.get(k, "v3"), p) for n, (k, p) in enumerate(flat)], "key string, input_ordinal bigint, version string, plan int")
         if self.bounds.max_total_pages < Bounds.max_total_pages:  # known from the indexes, before a page is decompressed
-            if logfiles.read_index(self.spark, paths, limits=self.limits).count() > self.bounds.max_total_pages:
-                raise ControlError("PageLimitExceeded")
+            counts = logfiles.keyed(logfiles.read_index(self.spark, paths, limits=self.limits).select("path"), F.broadcast(order)).groupBy("plan").count()
+            over = counts.where(F.col("count") > self.bounds.max_total_pages).agg(F.min("plan")).first()[0]
+            if over is not None:
+                chain, heads, fault = self._chains(plans[:over]) if over else (None, [], None)
+                return chain, heads, fault or ControlError("PageLimitExceeded")
         got, at = scratch.table(logfiles.read_chain(self.spark, paths, order, self.limits), "chain")
-        heads = got.drop("numbers").orderBy("input_ordinal").collect()
-        self._check_chain(heads, keys)
-        return Chain(paths, heads, order, got.select("input_ordinal", F.explode("numbers").alias("page_number")), at)
+        heads, fault = [[] for _ in keys], None
+        for r in sorted(got.drop("numbers").collect(), key=lambda r: r.input_ordinal):
+            heads[flat[r.input_ordinal][1]].append(r)
+        for n, (some, names) in enumerate(zip(heads, keys)):
+            try:
+                self._check_chain(some, names)
+            except ControlError as e:
+                heads, fault = heads[:n], e
+                break
+        return Chain(paths, [r for some in heads for r in some], order, got.select("input_ordinal", F.explode("numbers").alias("page_number")), at), heads, fault
 
     def _check_chain(self, heads: list[Row], keys: list[str]) -> None:
         for r, key in zip(heads, keys, strict=True):
@@ -310,9 +332,23 @@ class Controller:
 
         Deletion needs a verified chain over the covering files first. A batch smaller than ``min_files`` waits.
         """
-        return self._run("maintain", lambda: self._maintain(level, min_files))
+        done = self._run("maintain", lambda: self._quanta(level, min_files, 1))
+        return done[0] if done else Outcome("idle", level)
+
+    def maintain_level(self, level: int, min_files: int = 1, most: int | None = None) -> list[Outcome]:
+        """The quanta of `maintain` until it is idle, or ``most`` of them; those that follow one another are planned on one listing
+        and read, written and deleted together. A batch at fault stops them: those before it are done, and its error is raised."""
+        out: list[Outcome] = []
+        while most is None or len(out) < most:
+            done = self._run("maintain", lambda: self._quanta(level, min_files, WAVE if most is None else most - len(out)))
+            if not done:
+                break
+            self.counters.add("maintain", len(done) - 1)
+            out += done
+        return out
 
-    def _maintain(self, level: int, min_files: int) -> Outcome:
+    def _quanta(self, level: int, min_files: int, most: int) -> list[Outcome]:
+        """Up to ``most`` quanta, none if there is nothing to do."""
         if level == 0 or level not in self.ladder:
             raise ControlError("InvalidDestinationLevel")
         below = self.ladder.previous(level)
@@ -324,47 +360,66 @@ class Controller:
             if str(e) != "TxNotAvailable":
                 raise
             upper, covered = files.where("false"), 0
+            if most > 1 and not files.where(F.col("level") >= level).isEmpty():
+                most = 1  # what a first batch joins to those files decides what comes next
         source = files.where(F.col("level") == below)
         if covered and (done := self._reconcile(files, source, upper, level, covered)):
-            return done
+            return [done]
         rest = catalog.source_after(source, covered)
         if not catalog.batch_due(rest, min_files):
-            return Outcome("idle", level)
+            return []
         snap = catalog.newest_snapshot(files).first() if level == catalog.SNAPSHOT_LEVEL else None
         inputs, room = self.bounds.max_inputs, self.bounds.max_bytes
         if snap:
             inputs, room = inputs - 1, room - snap.size_bytes
         if inputs < 1 or room < 1:
-            return Outcome("idle", level)
-        chosen = catalog.compaction_prefix(rest, inputs, room).select(*files.columns)
-        first, n = chosen.agg(F.min("min_txid"), F.count("*")).first()
-        if not n:
-            return Outcome("idle", level)
-        if first != covered + 1:
+            return []
+        most = 1 if level == catalog.SNAPSHOT_LEVEL else most  # each snapshot is an input of the next
+        n = max(inputs, min(WAVE, most * inputs))
+        rows = rest.select("level", "min_txid", "max_txid", "size_bytes").orderBy("min_txid", "max_txid").limit(n).collect()
+        batches = catalog.batches(rows, inputs, room, most, min_files, WAVE_BYTES, len(rows) == n)
+        if not batches:
+            return []
+        if batches[0][0].min_txid != covered + 1:
             raise catalog.PlanError("CompactionNotAvailable")
-        if snap:
-            chosen = chosen.unionByName(self.spark.createDataFrame([snap], files.schema))
-        return self._compact(chosen, level, files)
-
-    def _compact(self, chosen: DataFrame, level: int, files: DataFrame) -> Outcome:
-        chain = self._chain(chosen)
-        first, last = chain.heads[0], chain.last
-        modes = {r.flags & codec.NO_CHECKSUM for r in chain.heads}
-        if len(modes) > 1:
-            raise ControlError("CompactionChecksumModeMismatch")
-        newest = chain.numbers.where(F.col("page_number") <= last.commit).groupBy("page_number").agg(F.max("input_ordinal").alias("input_ordinal"))
-        head = {"flags": modes.pop(), "page_size": first.page_size, "commit": last.commit, "min_txid": first.min_txid, "max_txid": last.max_txid, "timestamp_ms": last.timestamp_ms, "pre_apply_checksum": first.pre_apply_checksum}
-        written = self._write(head, self._chosen(chain, newest), level, last.post_apply_checksum or None)
+        return self._compact([[*([snap] if snap else []), *batch] for batch in batches], level, files)
+
+    def _compact(self, batches: list[list[Row]], level: int, files: DataFrame) -> list[Outcome]:
+        """Each batch compacted into one file of a level: all are read, written and deleted together."""
+        chain, chains, fault = self._chains(batches)
+        heads, of = [], []
+        for some in chains:
+            first, last = some[0], some[-1]
+            modes = {r.flags & codec.NO_CHECKSUM for r in some}
+            if len(modes) > 1:
+                fault = ControlError("CompactionChecksumModeMismatch")
+                break
+            of += [(r.input_ordinal, len(heads), last.commit) for r in some]
+            head = {"flags": modes.pop(), "page_size": first.page_size, "commit": last.commit, "min_txid": first.min_txid, "max_txid": last.max_txid, "timestamp_ms": last.timestamp_ms, "pre_apply_checksum": first.pre_apply_checksum}
+            heads.append((head, last.post_apply_checksum or None))
+        if not heads:
+            raise fault
+        of = F.broadcast(self.spark.createDataFrame(of, "input_ordinal bigint, batch bigint, commit bigint"))  # one row a file
+        newest = chain.numbers.join(of, "input_ordinal").where(F.col("page_number") <= F.col("commit")).groupBy("batch", "page_number").agg(F.max("input_ordinal").alias("input_ordinal"))
+        pages = self._chosen(chain, newest.drop("batch")).join(of, "input_ordinal").select(F.col("batch").alias("input_ordinal"), "page_number", "data")
+        written = self._write(heads, pages, level)
         scratch.drop(self.spark, chain.stored)
-        doomed = chosen.where(F.col("level") != level).unionByName(catalog.covered_snapshots(files, int(first.min_txid), int(last.max_txid))) if level == catalog.SNAPSHOT_LEVEL else chosen
-        return Outcome("compacted", level, self._delete(doomed), len(chain.heads), written, int(last.max_txid))
+        done = batches[: len(heads)]
+        names = [(r.level, r.min_txid, r.max_txid) for batch in done for r in batch if r.level != level]
+        doomed = self.spark.createDataFrame(names, "level int, min_txid decimal(20,0), max_txid decimal(20,0)")
+        if level == catalog.SNAPSHOT_LEVEL:
+            doomed = doomed.unionByName(catalog.covered_snapshots(files, int(heads[0][0]["min_txid"]), int(heads[0][0]["max_txid"])).select(*doomed.columns))
+        deleted = self._delete(doomed)
+        if fault:
+            raise fault
+        gone = [deleted] if len(done) == 1 else [len(batch) for batch in done]
+        return [Outcome("compacted", level, g, len(some), n, int(some[-1].max_txid)) for g, some, n in zip(gone, chains, written)]
 
     def maintain_batch(self, most: int = 64, min_files: int = 1) -> list[Outcome]:
         """Work on all levels from the lowest on, until nothing is due or ``most`` quanta are done."""
         out: list[Outcome] = []
         for level in [*range(1, self.ladder.top + 1), catalog.SNAPSHOT_LEVEL]:
-            while len(out) < most and (done := self.maintain(level, min_files)).kind != "idle":
-                out.append(done)
+            out += self.maintain_level(level, min_files, most - len(out))
         return out
 
     def _reconcile(self, files: DataFrame, source: DataFrame, upper: DataFrame, level: int, covered: int) -> Outcome | None:

@@ -454,8 +454,7 @@ def controller_compaction(spark, d):
 def controller_levels(spark, d):
     """All of level 0 compacted into level 1, eight files at a time."""
     c = _controller(spark, d)
-    while c.maintain(1).kind != "idle":
-        pass
+    c.maintain_level(1)
     return c.listing().select("level", F.col("min_txid").cast("bigint").alias("min_txid"), F.col("max_txid").cast("bigint").alias("max_txid"))
 
 

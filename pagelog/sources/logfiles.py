@@ -174,7 +174,7 @@ def read_pages(spark: SparkSession, path: str | list[str], version: str = "v3",
 CHAIN = "input_ordinal bigint, numbers array<bigint>, " + FILES
 
 
-def _keyed(df: DataFrame, plan: DataFrame) -> DataFrame:
+def keyed(df: DataFrame, plan: DataFrame) -> DataFrame:
     """Files with the row of ``plan`` (key: level directory and name) that names them."""
     parts = F.split("path", "/")
     return df.withColumn("key", F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1))).join(plan, "key")
@@ -196,7 +196,7 @@ def _chained(limits: codec.Limits):
 
 def read_chain(spark: SparkSession, paths: list[str] | DataFrame, plan: DataFrame, limits: codec.Limits = codec.Limits()) -> DataFrame:
     """Verdicts and page numbers of a plan's files, each decoded once; ``plan`` has (key, input_ordinal, version) of each file."""
-    rows = _keyed(_contents(spark, paths, limits), F.broadcast(plan))  # a plan, whose files its maker has bounded
+    rows = keyed(_contents(spark, paths, limits), F.broadcast(plan))  # a plan, whose files its maker has bounded
     return rows.select("path", "length", "content", "version", "input_ordinal").mapInArrow(_chained(limits), CHAIN)
 
 
@@ -220,7 +220,7 @@ def read_chosen(spark: SparkSession, paths: list[str] | DataFrame, plan: DataFra
 
     Lists of numbers, one a file, meet the files' compressed bytes; pages are decoded where they stay, and none is shuffled.
     """
-    rows = _keyed(_contents(spark, paths, limits), plan)
+    rows = keyed(_contents(spark, paths, limits), plan)
     return rows.select("path", "length", "content", "version", "input_ordinal", "numbers").mapInArrow(_chosen(limits), "input_ordinal bigint, " + PAGES)
 
 
