@@ -463,9 +463,8 @@ def restore_after_compaction(spark, d):
     """Pages that no commit ever cut read the same from the compacted tree."""
     c = _controller(spark, d)
     low = logfiles.read_files(spark, f"{c.root}/ltx", header_only=True).agg(F.min("commit")).first()[0]
-    while c.maintain(1).kind != "idle":
-        pass
-    return c.restore()[1].where(F.col("page_number") <= low).select("page_number", _number(F.col("data")).alias("frame_index"))
+    c.maintain_level(1)
+    return _read_image(c.restore()[1].where(F.col("page_number") <= low))
 
 
 @_query("controller_verify", "SELECT max(max_txid) AS txid, 0 AS checksum FROM heads", _CHAIN)

@@ -108,7 +108,7 @@ def longer(sf_dir, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["controller_levels"])
+@pytest.mark.parametrize("name", ["controller_levels", "restore_after_compaction"])
 def test_queries_on_more_files(spark, longer, monkeypatch, name):
     seen = counted(monkeypatch)
     same(registry.QUERIES[name](spark, longer), longer, registry.ORACLE[name])
